@@ -166,13 +166,13 @@ def fit(labelled: DataFrame, text_col: str = "text", lang_col: str = "lang", sam
     return Model(languages, code, weights.astype(np.float32))
 
 
-def identify(docs: DataFrame, model: Model, text_col: str = "text", carry: tuple = ("doc_id",)) -> DataFrame:
-    """The columns of ``carry``, then lang_pred, lang_score, lang_ambiguous, for every row."""
+def identify(docs: DataFrame, model: Model, text_col: str = "text", carry: tuple = ("doc_id",), prefix: str = "lang") -> DataFrame:
+    """The columns of ``carry``, then <prefix>_pred, _score and _ambiguous, for every row."""
     from pyspark.sql import types as T
 
     sent = docs.sparkSession.sparkContext.broadcast(model)  # languages x bits and bits x DIM: fixed size
     rows = docs.select(F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("__text"), F.coalesce(F.col(text_col).rlike(r"\p{L}"), F.lit(False)).alias("__letters"), *carry)
-    schema = T.StructType([*[docs.schema[c] for c in carry], T.StructField("lang_pred", T.StringType()), T.StructField("lang_score", T.DoubleType()), T.StructField("lang_ambiguous", T.BooleanType())])
+    schema = T.StructType([*[docs.schema[c] for c in carry], T.StructField(f"{prefix}_pred", T.StringType()), T.StructField(f"{prefix}_score", T.DoubleType()), T.StructField(f"{prefix}_ambiguous", T.BooleanType())])
 
     def run(batches):
         import pyarrow as pa
@@ -186,7 +186,7 @@ def identify(docs: DataFrame, model: Model, text_col: str = "text", carry: tuple
                 at = np.flatnonzero(letters)
                 best, share, gap = m.decode(m.margins([batch.column(0)[int(i)].as_py().encode() for i in at]))
                 names[at], score[at], unsure[at] = np.array(m.languages, object)[best], share, gap < AMBIGUOUS_GAP
-            yield pa.RecordBatch.from_arrays([*batch.columns[2:], pa.array(names, pa.string()), pa.array(score), pa.array(unsure)], [*carry, "lang_pred", "lang_score", "lang_ambiguous"])
+            yield pa.RecordBatch.from_arrays([*batch.columns[2:], pa.array(names, pa.string()), pa.array(score), pa.array(unsure)], list(schema.names))
 
     return rows.mapInArrow(run, schema)
 

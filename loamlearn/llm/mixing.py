@@ -108,3 +108,14 @@ def mix_sources(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     keys = ["src", "at", "doc_id", "source", "size", "source_size", "target"]
     out = parts.groupBy(*keys).agg(F.sum("got").alias("taken")).unionByName(entries.filter("size = 0").withColumn("taken", F.lit(0).cast("long")))
     return out.select("doc_id", "source", "size", "source_size", "target", F.col("taken").cast("long").alias("taken"))
+
+
+def mixed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", **options) -> DataFrame:
+    """``docs``, each row as often as the mix takes it: its taken words over its size, to the nearest whole number.
+
+    Rows that agree in id and source share their words evenly.
+    """
+    took = mix_sources(docs, id_col, text_col, source_col, **options).groupBy(F.col("doc_id").alias("__id"), F.col("source").alias("__source")).agg(F.sum("taken").alias("t"), F.sum("size").alias("n"))
+    took = took.filter("n > 0").withColumn("__copies", F.floor(F.col("t") / F.col("n") + 0.5).cast("int")).filter("__copies > 0").drop("t", "n")
+    met = docs.join(took, F.col(id_col).eqNullSafe(F.col("__id")) & F.col(source_col).cast("string").eqNullSafe(F.col("__source")))
+    return met.withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__copies")))).select(*docs.columns)

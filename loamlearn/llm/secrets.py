@@ -71,6 +71,23 @@ def scan_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     return rows.select("doc_id", "row_key", "row").join(per, "row", "left").select("doc_id", "row_key", F.coalesce("spans", none).alias("spans"))
 
 
+#: What a text must hold to have any candidate.
+MAYBE = r"(?i:password|passwd|secret|token|api_?key)|AKIA|[0-9a-f]{16}|gh[pousr]_|xox[abprs]-|eyJ|PRIVATE KEY"
+
+
+def redact_live(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", repo_col: str = "source", owner_col: str = "source", copied: int = 3) -> DataFrame:
+    """``docs`` with [SECRET] in place of every span whose value is not a widely copied example.
+
+    Only texts that may hold a candidate are shuffled, to meet their spans.
+    """
+    keyed = docs.withColumn("__key", F.xxhash64(F.col(id_col), F.coalesce(F.col(text_col), F.lit(""))))
+    maybe = F.coalesce(F.col(text_col).rlike(MAYBE), F.lit(False))
+    spans = scan_secrets(docs.filter(maybe), id_col, text_col, repo_col, owner_col, copied)
+    spans = spans.select(F.col("row_key").alias("__key"), F.filter("spans", lambda s: s["verdict"] != "example").alias("__spans")).filter(F.size("__spans") > 0).dropDuplicates(["__key"])
+    met = keyed.filter(maybe).join(spans, "__key", "left").withColumn(text_col, F.when(F.col("__spans").isNull(), F.col(text_col)).otherwise(redact(F.col(text_col), F.col("__spans"))))
+    return met.select(*docs.columns).unionByName(docs.filter(~maybe))
+
+
 def redact(text: Column, spans: Column) -> Column:
     """The text with each span, overlapping ones as one, replaced by [SECRET]. spans: sorted by start."""
     start = F.struct(F.lit(0).alias("at"), F.array().cast("array<string>").alias("out"))
