@@ -15,7 +15,8 @@ rows. Links are then found in two steps, both verified on the whole sets:
 1. star: in each signature's group every member is compared with the group's centre, the set with
    the most partners; linked members take the centre's label;
 2. rest: members with different labels are paired, in packed partner lists; the number of shared
-   signatures must reach what the pigeonhole demands, then the pair is verified.
+   signatures must reach what the pigeonhole demands, then the pair is verified, in blocks of two
+   parts of the sets, to which each set goes once however many partners it has there.
 
 So a group of near copies around one original costs one comparison a member, while every pair that
 is not yet known to be connected is compared. Components come from alternating star contractions.
@@ -338,24 +339,69 @@ def _partners(percent: int):
         order = np.argsort(left, kind="stable")
         left, body = left[order], np.stack([right[order], least[order]], axis=1).astype("<i8")
         cut = np.flatnonzero(np.concatenate([[True], left[1:] != left[:-1]])) if len(left) else np.zeros(0, int)
-        ends = np.append(cut[1:], len(left))
+        ends = np.append(cut[1:], len(left))[: len(cut)]
         return pa.table({"set_id": pa.array(left[cut], pa.int64()), "partners": pa.array([body[a:z].tobytes() for a, z in zip(cut, ends, strict=True)], pa.binary())})
 
     return run
 
 
-def _counted(table):
-    """Pairs that share as many signatures as linked sets must."""
-    import pyarrow as pa
+def _counted(n_parts: int):
+    """Pairs that share as many signatures as linked sets must, by the parts of both sets, with the sets that they name."""
 
-    parts = [np.frombuffer(x.as_py(), "<i8").reshape(-1, 2) for x in table.column("partners")]
-    a = np.repeat(table.column("set_id").to_numpy(), [len(p) for p in parts])
-    both = np.concatenate(parts)
-    order = np.lexsort((both[:, 0], a))
-    a, b, need = a[order], both[order, 0], both[order, 1]
-    cut = np.flatnonzero(np.concatenate([[True], (a[1:] != a[:-1]) | (b[1:] != b[:-1])]))
-    ok = np.diff(np.append(cut, len(a))) >= np.minimum.reduceat(need, cut)
-    return pa.table({"a": pa.array(a[cut[ok]], pa.int64()), "b": pa.array(b[cut[ok]], pa.int64())})
+    def run(table):
+        import pyarrow as pa
+
+        parts = [np.frombuffer(x.as_py(), "<i8").reshape(-1, 2) for x in table.column("partners")]
+        a = np.repeat(table.column("set_id").to_numpy(), [len(p) for p in parts])
+        both = np.concatenate(parts)
+        order = np.lexsort((both[:, 0], a))
+        a, b, need = a[order], both[order, 0], both[order, 1]
+        cut = np.flatnonzero(np.concatenate([[True], (a[1:] != a[:-1]) | (b[1:] != b[:-1])]))
+        ok = np.diff(np.append(cut, len(a))) >= np.minimum.reduceat(need, cut)
+        a, b = a[cut[ok]], b[cut[ok]]
+        other = b % n_parts
+        order = np.argsort(other, kind="stable")
+        a, b, other = a[order], b[order], other[order]
+        cut = np.flatnonzero(np.concatenate([[True], other[1:] != other[:-1]])) if len(a) else np.zeros(0, int)
+        ends = np.append(cut[1:], len(a))[: len(cut)]
+        return pa.table({"p": pa.array(a[cut] % n_parts, pa.int64()), "q": pa.array(other[cut], pa.int64()), "pairs": pa.array([np.stack([a[x:z], b[x:z]], axis=1).astype("<i8").tobytes() for x, z in zip(cut, ends, strict=True)], pa.binary()), "named": pa.array([np.unique(np.concatenate([a[x:z], b[x:z]])) for x, z in zip(cut, ends, strict=True)], pa.list_(pa.int64()))})
+
+    return run
+
+
+def _block_verified(percent: int):
+    def run(sets, blocks):
+        """sets: those that the block's pairs name, once each; blocks: one packed list of pairs."""
+        import pyarrow as pa
+
+        pairs = np.concatenate([np.frombuffer(x.as_py(), "<i8").reshape(-1, 2) for x in blocks.column("pairs")]) if blocks.num_rows else np.zeros((0, 2), np.int64)
+        if not len(pairs):
+            return pa.table({"a": pa.array([], pa.int64()), "b": pa.array([], pa.int64())})
+        names = sets.column("set_id").to_numpy()
+        shingles = sets.column("shingles").combine_chunks()
+        n = shingles.value_lengths().to_numpy()
+        words, local = np.unique(shingles.flatten().to_numpy(), return_inverse=True)
+        at = np.cumsum(n) - n
+        order = np.argsort(names)
+        a, b = (order[np.searchsorted(names[order], pairs[:, i])] for i in (0, 1))
+        by = np.argsort(a, kind="stable")
+        a, b = a[by], b[by]
+        cut = np.flatnonzero(np.concatenate([[True], a[1:] != a[:-1]]))
+        mark = np.zeros(len(words), bool)
+        common = np.zeros(len(a), np.int64)
+        for x, z in zip(cut, np.append(cut[1:], len(a)), strict=True):
+            mine = local[at[a[x]] : at[a[x]] + n[a[x]]]
+            mark[mine] = True
+            for i in range(x, z, 512):  # partners' sets, a bounded number at once
+                who = b[i : min(z, i + 512)]
+                ends = np.cumsum(n[who])
+                where = np.arange(ends[-1]) + np.repeat(at[who] - (ends - n[who]), n[who])
+                common[i : i + len(who)] = np.add.reduceat(mark[local[where]].astype(np.int64), ends - n[who])
+            mark[mine] = False
+        ok = common * 100 >= (n[a] + n[b] - common) * percent
+        return pa.table({"a": pa.array(names[a[ok]], pa.int64()), "b": pa.array(names[b[ok]], pa.int64())})
+
+    return run
 
 
 def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -419,9 +465,12 @@ def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     labelled = labelled.join(mixed, "sig", "left_semi")
     cells = F.pmod(F.xxhash64("sig"), F.lit(n_buckets)).cast("int")
     lists = labelled.select("sig", "set_id", "n", "weak", "band", "label", cells.alias("cell")).groupBy("cell").applyInArrow(_partners(percent), "set_id long, partners binary")
-    pairs = lists.withColumn("cell", F.pmod(F.xxhash64("set_id"), F.lit(n_buckets)).cast("int")).groupBy("cell").applyInArrow(_counted, "a long, b long")
-    pairs = ws.save(pairs.join(star.select("a", "b"), ["a", "b"], "left_anti"), "pairs")
-    found = ws.save(links.select("a", "b").unionByName(_verified(pairs, sets, percent)), "links")
+    part = F.pmod(F.col("set_id"), F.lit(n_buckets))
+    blocks = lists.withColumn("cell", part).groupBy("cell").applyInArrow(_counted(n_buckets), "p long, q long, pairs binary, named array<long>")
+    blocks = ws.save(blocks, "blocks")
+    named = blocks.select(F.col("p").alias("np"), F.col("q").alias("nq"), F.explode("named").alias("set_id")).join(sets, "set_id")
+    rest = named.groupBy("np", "nq").cogroup(blocks.select("p", "q", "pairs").groupBy("p", "q")).applyInArrow(_block_verified(percent), "a long, b long")
+    found = ws.save(links.select("a", "b").unionByName(rest).distinct(), "links")
 
     node = components(found, ws)
     degree = found.select(F.explode(F.array("a", "b")).alias("set_id")).groupBy("set_id").agg(F.count(F.lit(1)).alias("n_links"))
