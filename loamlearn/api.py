@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from .functions.losses import loss as loss_of, pure_classification
 from .operators import binning, continuous, features as feat, gbdt, metrics
 from .operators.optim import Settings, grid_search, hoag
-from .operators.score import Predictor
+from .operators.score import FieldOf, Predictor
 from .plans.session import saved
 from .sources.config import get, read_config
 
@@ -103,8 +103,7 @@ def train(samples: DataFrame, config: dict | str, test: DataFrame | None = None)
     field_of = None
     if kind == "ffm":
         delim = get(c, "data.delim.field_delim", "@")
-        names = sorted({x.split(delim)[0] for x in index if x != feat.BIAS})
-        field_of = lambda name: 0 if name == feat.BIAS else names.index(name.split(delim)[0]) + 1
+        field_of = FieldOf(sorted({x.split(delim)[0] for x in index if x != feat.BIAS}), delim)
     return Predictor(model, objective, got.w, index, field_of, bias)
 
 

@@ -165,7 +165,7 @@ class FFM(Model):
 
     def _pairs(self, rows):
         """All pairs of entries p < q of a row; a bias without latent part has none."""
-        at = np.flatnonzero(~(self.bias and not self.bias_latent) | (rows.idx != 0))
+        at = np.flatnonzero((rows.idx != 0) | (self.bias_latent or not self.bias))
         at = at[np.argsort(rows.row[at], kind="stable")]
         row = rows.row[at]
         end = np.searchsorted(row, row, "right")

@@ -12,6 +12,7 @@ from pyspark.sql import types as T
 
 from ..functions.losses import A, MultiLoss, loss as loss_of
 from .continuous import Ensemble, Model, Rows
+from .features import BIAS
 from .gbdt import Forest
 
 RESULT_ONLY, LABEL_AND_PREDICT, AS_FEATURE = "PREDICT_RESULT_ONLY", "LABEL_AND_PREDICT", "PREDICT_AS_FEATURE"
@@ -24,6 +25,17 @@ def _activated(objective: str, scores: np.ndarray) -> np.ndarray:
     return np.asarray(o.predict(A, scores[:, 0]))[:, None]
 
 
+@dataclass
+class FieldOf:
+    """The field of an FFM feature: the place of what stands before the delimiter, the bias's field being 0."""
+
+    names: list[str]
+    delim: str = "@"
+
+    def __call__(self, name: str) -> int:
+        return 0 if name == BIAS else self.names.index(name.split(self.delim)[0]) + 1
+
+
 @dataclass
 class Predictor:
     """One interface over models: score, predict, loss and leaf of feature maps, in batches or one by one.
