@@ -135,9 +135,13 @@ class Model:
 def fit(labelled: DataFrame, text_col: str = "text", lang_col: str = "lang", sample_docs: int = 4000, alpha: float = 0.5) -> Model:
     """Learns from the rows' texts and non-null languages alone."""
     rows = labelled.select(F.col(text_col).cast("string").alias("text"), F.col(lang_col).cast("string").alias("lang"), F.xxhash64(*labelled.columns).alias("h")).filter("text IS NOT NULL AND lang IS NOT NULL")
-    sizes = labelled.filter(F.col(lang_col).isNotNull()).groupBy(F.col(lang_col).cast("string").alias("lang")).agg(F.count(F.lit(1)).alias("n"))
+    # one count a language, on the driver as the model is; the sample is cut before anything is shuffled
+    sizes = {r["lang"]: r["n"] for r in labelled.filter(F.col(lang_col).isNotNull()).groupBy(F.col(lang_col).cast("string").alias("lang")).agg(F.count(F.lit(1)).alias("n")).collect()}
+    if not sizes:
+        return Model([], codebook(0), np.zeros((0, DIM), np.float32))
+    n = F.element_at(F.create_map(*[F.lit(x) for kv in sorted(sizes.items()) for x in kv]), F.col("lang"))
     share = F.pmod(F.col("h"), F.lit(1 << 30)) / float(1 << 30)
-    sample = rows.join(sizes, "lang").filter(share * F.col("n") < sample_docs).select("lang", "text").distinct()
+    sample = rows.filter(share * n < sample_docs).select("lang", "text").distinct()
 
     def count(batches):
         import pyarrow as pa
