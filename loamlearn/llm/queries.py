@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .oracle import oracle_sql  # noqa: F401
 from . import audio, bpe, chat, langid, mixing, ngramjoin, pii, secrets, sufdedup, topk
 
 
@@ -66,7 +67,7 @@ def op9_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return ngramjoin.jaccard_join(_read(spark, sf_dir, "documents"))
+    return ngramjoin.jaccard_join(_read(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id")
 
 
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
