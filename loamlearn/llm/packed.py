@@ -105,10 +105,24 @@ def send(groups: DataFrame, emit: Callable[[Group], Iterator[dict]], schema: str
 
         for group in groups_of(batches):
             yield from _rows(pa, names, schema, emit(group))
+            give_back()
 
     return groups.mapInArrow(run, schema)
 
 
+def give_back() -> None:
+    """Returns freed memory to the system: workers live on between groups and stages, beside the executor's heap."""
+    import ctypes
+
+    import pyarrow as pa
+
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):  # another C library
+        pass
+
+
 _KINDS = {"int": "int32", "long": "int64", "binary": "binary", "string": "string", "boolean": "bool_", "array<long>": "longs"}
 
 
@@ -132,6 +146,8 @@ def answer(sent: DataFrame, reply: Callable[[int, list[tuple[int, bytes]]], Iter
         table = table.sort_by("g")
         parts = list(zip(table.column("g").to_pylist(), (x.as_py() for x in table.column("blob")), strict=True))
         out = list(_rows(pa, names, schema, reply(table.column("bucket")[0].as_py(), parts)))
+        del parts, table
+        give_back()
         return pa.Table.from_batches(out) if out else pa.table({n: pa.array([], k) for n, k in zip(names, kinds(pa, schema), strict=True)})
 
     return sent.groupBy("bucket").applyInArrow(run, schema)
@@ -149,6 +165,8 @@ def receive(groups: DataFrame, answers: DataFrame, apply: Callable[[Group, dict[
             group = Group.read({k: v[0] for k, v in left.to_pydict().items()})
             got = dict(zip(right.column("bucket").to_pylist(), (x.as_py() for x in right.column("blob")), strict=True))
             out = list(_rows(pa, names, schema, apply(group, got)))
+            del group, got
+            give_back()
         return pa.Table.from_batches(out) if out else pa.table({n: pa.array([], k) for n, k in zip(names, kinds(pa, schema), strict=True)})
 
     return groups.groupBy("g").cogroup(answers.groupBy("g")).applyInArrow(run, schema)

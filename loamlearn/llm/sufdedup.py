@@ -37,8 +37,10 @@ LENGTH, GRAM = 50, 26
 V, COVER = 7, (0, 1, 3)
 SHIFT = tuple(min(d for d in range(V) if (r + d) % V in COVER) for r in range(V))
 #: Bytes of text behind one bucket; suffixes in one block of a bucket; bytes hashed at once.
-BUCKET_BYTES, BLOCK_SUFFIXES, SLICE = 12 << 20, 400_000, 1 << 20
+BUCKET_BYTES, BLOCK_SUFFIXES, SLICE = 4 << 20, 100_000, 1 << 20
 _FAR = np.iinfo(np.int64).max
+#: An answer: piece of the blob, first suffix, number of suffixes, least document.
+DTYPE = [("piece", "<i4"), ("from", "u1"), ("n", "u1"), ("doc", "<i8")]
 
 
 def gram_hashes(data: np.ndarray, gram: int = GRAM) -> np.ndarray:
@@ -121,8 +123,7 @@ class _Runs:
         """Distinct pieces, sorted by key: (key, first, bytes, anchor's offset, least document), and for each shared run (run, piece)."""
         run = np.flatnonzero(shared[self.of])
         first, size, inner = self.first[run], self.count[run] + LENGTH - 1, self.place[run] - self.first[run]
-        # grams at the run's start, LENGTH - GRAM further and at its end cover all of the piece
-        h = self._hashes(group, first) ^ mix64(self._hashes(group, first + LENGTH - GRAM) + np.uint64(1)) ^ mix64(self._hashes(group, first + size - GRAM) + np.uint64(2)) ^ size.astype(np.uint64)
+        h = piece_hashes(group.data, first, size)
         order = np.lexsort((h, self.key[run]))
         k, h = self.key[run][order], h[order]
         new = np.concatenate([[True], (k[1:] != k[:-1]) | (h[1:] != h[:-1])]) if len(order) else np.zeros(0, bool)
@@ -132,13 +133,16 @@ class _Runs:
         least = np.minimum.reduceat(self.doc[run][order], at) if len(at) else np.zeros(0, np.int64)
         return k[at], first[order][at], size[order][at], inner[order][at], least, run, piece
 
-    @staticmethod
-    def _hashes(group: packed.Group, at: np.ndarray) -> np.ndarray:
-        """Hashes of the GRAM bytes from given positions on."""
-        out = np.zeros(len(at), np.uint64)
+
+def piece_hashes(data: np.ndarray, first: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """Hashes of pieces from those of the grams at their start, LENGTH - GRAM further and at their end, which cover them."""
+    out = size.astype(np.uint64)
+    for at in (first, first + LENGTH - GRAM, first + size - GRAM):
+        h = np.zeros(len(at), np.uint64)
         for j in range(GRAM):
-            out = out * np.uint64(0x9E3779B97F4A7C15) + group.data[at + j] + np.uint64(1)
-        return mix64(out)
+            h = h * np.uint64(0x9E3779B97F4A7C15) + data[at + j] + np.uint64(1)
+        out = mix64(out + mix64(h))
+    return out
 
 
 def _send_anchors(n_buckets: int):
@@ -283,56 +287,78 @@ def _classes(bucket, parts):
         owner.append(np.full(n, i))
     keys, least, size, inner, texts, owner = map(np.concatenate, (keys, least, size, inner, texts, owner))
     start = np.cumsum(size) - size
-    order = np.argsort(keys, kind="stable")
-    out: list[list[bytes]] = [[] for _ in parts]
-    number = np.concatenate([np.arange(n) for n in np.bincount(owner, minlength=len(parts))]) if len(owner) else owner
-    k = keys[order]
-    group_first = np.flatnonzero(np.concatenate([[True], k[1:] != k[:-1]])) if len(k) else np.zeros(0, int)
-    suffix_n = size[order] - LENGTH + 1
-    total = np.concatenate([[0], np.cumsum(suffix_n)])
+    number = np.concatenate([np.arange(n) for n in np.bincount(owner, minlength=len(parts))])
+    # equal pieces of different groups are one, with their least document; pieces stand sorted by key
+    h = piece_hashes(texts, start, size)
+    order = np.lexsort((h, keys))
+    k, h = keys[order], h[order]
+    new = np.concatenate([[True], (k[1:] != k[:-1]) | (h[1:] != h[:-1])])
+    head = np.flatnonzero(new)
+    kind = np.empty(len(order), np.int64)
+    kind[order] = np.cumsum(new) - 1
+    lowest_of = np.minimum.reduceat(least[order], head)
+    pick, k = order[head], k[head]
+    key_first = np.flatnonzero(np.concatenate([[True], k[1:] != k[:-1]]))
+    several = np.repeat(np.diff(np.append(key_first, len(k))) > 1, np.diff(np.append(key_first, len(k))))
+    # a key's only piece is its own class; of the others, answers are runs of suffixes with one least document
+    alone = np.flatnonzero(~several)
+    found = [np.stack([alone, np.zeros(len(alone), np.int64), size[pick[alone]] - LENGTH + 1, lowest_of[alone]])]
+    rest = np.flatnonzero(several)
+    bounds = np.append(np.flatnonzero(np.concatenate([[True], k[rest][1:] != k[rest][:-1]])) if len(rest) else [], len(rest)).astype(np.int64)
+    total = np.concatenate([[0], np.cumsum(size[pick[rest]] - LENGTH + 1)])
     a = 0
-    bounds = np.append(group_first, len(k))
-    while a < len(k):  # blocks of whole keys, one at a time
-        z = bounds[max(np.searchsorted(bounds, a, "right"), np.searchsorted(total[bounds], total[a] + BLOCK_SUFFIXES, "right") - 1)]
-        sel = order[a:z]
+    while a < len(rest):  # blocks of whole keys, one at a time
+        z = int(bounds[max(np.searchsorted(bounds, a, "right"), np.searchsorted(total[bounds], total[a] + BLOCK_SUFFIXES, "right") - 1)])
+        found.append(_block(texts, start, size, inner, lowest_of, rest[a:z], pick))
         a = z
-        # each piece stands so that its anchor's position is a multiple of V
-        pad = (-(np.cumsum(size[sel] + V) - size[sel] - V + inner[sel])) % V
-        base = np.cumsum(size[sel] + V) - size[sel] - V + pad
-        text = np.zeros(int(base[-1] + size[sel][-1]) + 10 * V, np.uint8)
-        where = np.repeat(base - (np.cumsum(size[sel]) - size[sel]), size[sel]) + np.arange(int(size[sel].sum()))
-        text[where] = _gather_text(texts, start[sel], size[sel])
-        ns = size[sel] - LENGTH + 1
-        piece = np.repeat(np.arange(len(sel)), ns)
-        offset = np.arange(len(piece)) - np.repeat(np.cumsum(ns) - ns, ns)
-        rank, equal = sort_block(text, base[piece] + offset)
-        doc = least[sel][piece][rank]
-        head = np.flatnonzero(~equal)
-        lowest = np.empty(len(rank), np.int64)
-        lowest[rank] = np.repeat(np.minimum.reduceat(doc, head), np.diff(np.append(head, len(rank))))
-        own = least[sel][piece]
-        # runs of suffixes of a piece with one least document below the piece's own
-        new = np.concatenate([[True], (piece[1:] != piece[:-1]) | (lowest[1:] != lowest[:-1])])
-        first = np.flatnonzero(new)
-        long = np.diff(np.append(first, len(piece)))
-        hit = lowest[first] < own[first]
-        first, long = first[hit], long[hit]
-        src = sel[piece[first]]
-        rows = np.zeros(len(first), [("piece", "<i4"), ("from", "u1"), ("n", "u1"), ("doc", "<i8")])
-        rows["piece"], rows["from"], rows["n"], rows["doc"] = number[src], offset[first], long, lowest[first]
-        by = np.argsort(owner[src], kind="stable")
-        cuts = np.searchsorted(owner[src][by], np.arange(len(parts) + 1))
-        for i in np.flatnonzero(np.diff(cuts)):
-            out[i].append(rows[by[cuts[i] : cuts[i + 1]]].tobytes())
-    yield {"bucket": [bucket] * len(parts), "g": [g for g, _ in parts], "blob": [b"".join(x) for x in out]}
+    found = np.concatenate(found, axis=1)
+    # every copy of a piece gets what lies below its own least document
+    by_kind = np.argsort(found[0], kind="stable")
+    found = found[:, by_kind]
+    cuts = np.searchsorted(found[0], np.arange(len(pick) + 1))
+    many = cuts[kind + 1] - cuts[kind]
+    copy = np.repeat(np.arange(len(kind)), many)
+    which = np.arange(len(copy)) - np.repeat(np.cumsum(many) - many, many) + cuts[kind][copy]
+    ok = found[3][which] < least[copy]
+    copy, which = copy[ok], which[ok]
+    rows = np.zeros(len(copy), DTYPE)
+    rows["piece"], rows["from"], rows["n"], rows["doc"] = number[copy], found[1][which], found[2][which], found[3][which]
+    ends = np.searchsorted(owner[copy], np.arange(len(parts) + 1))  # copies are in order of their owners
+    squeeze = zstandard.ZstdCompressor(level=1)
+    out = []
+    for i in range(len(parts)):
+        body = rows[ends[i] : ends[i + 1]].tobytes()
+        out.append(np.int64(len(body)).tobytes() + squeeze.compress(body) if body else b"")
+    yield {"bucket": [bucket] * len(parts), "g": [g for g, _ in parts], "blob": out}
+
+
+def _block(texts, start, size, inner, lowest_of, kinds, pick) -> np.ndarray:
+    """(piece, first suffix, number of suffixes, least document) of the pieces of some keys."""
+    sel = pick[kinds]
+    # each piece stands so that its anchor's position is a multiple of V
+    base = np.cumsum(size[sel] + V) - size[sel] - V
+    base += -(base + inner[sel]) % V
+    text = np.zeros(int(base[-1] + size[sel][-1]) + 10 * V, np.uint8)
+    text[np.repeat(base - (np.cumsum(size[sel]) - size[sel]), size[sel]) + np.arange(int(size[sel].sum()))] = _gather_text(texts, start[sel], size[sel])
+    ns = size[sel] - LENGTH + 1
+    piece = np.repeat(np.arange(len(sel)), ns)
+    offset = np.arange(len(piece)) - np.repeat(np.cumsum(ns) - ns, ns)
+    rank, equal = sort_block(text, base[piece] + offset)
+    head = np.flatnonzero(~equal)
+    lowest = np.empty(len(rank), np.int64)
+    lowest[rank] = np.repeat(np.minimum.reduceat(lowest_of[kinds][piece][rank], head), np.diff(np.append(head, len(rank))))
+    first = np.flatnonzero(np.concatenate([[True], (piece[1:] != piece[:-1]) | (lowest[1:] != lowest[:-1])]))
+    return np.stack([kinds[piece[first]], offset[first], np.diff(np.append(first, len(piece))), lowest[first]])
 
 
-DTYPE = [("piece", "<i4"), ("from", "u1"), ("n", "u1"), ("doc", "<i8")]
 SCHEMA = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, span_start array<long>, span_end array<long>"
 
 
 def _remove(n_buckets: int, keep_spans: bool):
+    import zstandard
+
     def apply(group, got):
+        opened = zstandard.ZstdDecompressor()
         runs = _Runs(group)
         covered = np.zeros(len(group.data) + 1, np.int32)
         if len(runs.keys) and -1 in got:
@@ -342,7 +368,8 @@ def _remove(n_buckets: int, keep_spans: bool):
             cuts = np.searchsorted(piece[by_piece], np.arange(len(key) + 1))
             hits = []
             for b, a, _z in packed.by_bucket(key, n_buckets):
-                rows = np.frombuffer(got.get(b, b""), DTYPE) if got.get(b) else np.zeros(0, DTYPE)
+                blob = got.get(b)
+                rows = np.frombuffer(opened.decompress(blob[8:], max_output_size=int(np.frombuffer(blob, "<i8", 1)[0])), DTYPE) if blob else np.zeros(0, DTYPE)
                 hits.append(np.stack([rows["piece"].astype(np.int64) + a, rows["from"], rows["n"], rows["doc"]]))
             found = np.concatenate(hits, axis=1) if hits else np.zeros((4, 0), np.int64)
             # a piece's own least document counts against its later documents, over all of the piece
