@@ -1,0 +1,328 @@
+"""Operators on texts against brute force, with nulls, ties, repeats, empty and long texts, empty tables and clashing columns."""
+
+import hashlib
+import io
+import re
+import wave
+import zlib
+
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+from loamlearn.llm import audio, bpe, chat, langid, mixing, ngramjoin, packed, pii, secrets, sufdedup
+
+SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, row_key long, text_len int, size long, spans string, taken long"
+sha = lambda b: hashlib.sha256(b if isinstance(b, bytes) else b.encode()).hexdigest()
+WORD = re.compile(r"[^\x20\x09-\x0D]+")
+LONG = " ".join(f"word{i % 700} the{i % 13}" for i in range(40_000))
+BASE = "alpha beta gamma delta epsilon zeta eta theta iota kappa lambda mu nu xi omicron pi rho sigma tau upsilon"
+
+
+def frame(spark, rows):
+    return spark.createDataFrame([(i, t, lang, s, 0, 1, 2, 3, "x", 4) for i, t, lang, s in rows], SCHEMA).repartition(4)
+
+
+ROWS = [
+    (5, BASE, "en", "a"), (2, BASE, "en", "b"), (9, BASE + " phi", "en", "a"), (7, None, "en", "a"), (8, "", None, None), (8, "", None, None), (None, BASE, "en", "c"),
+    (10, LONG, "en", "a"), (11, LONG + " tail", "de", "b"), (12, "drei kurze Wörter", "de", "b"), (13, "Drei kurze Wörter", "de", None), (14, "zwei", "de", "c"), (15, "  \t ", "de", "c"), (16, "1234 ١!", "en", "c"), (2, BASE, "en", "b"), (20, "\U0001f600 secret=abcdefghijkl \U0001f600", "en", "a"),
+]
+
+
+def test_mixing(spark):
+    rows = [(i, " ".join(["w"] * (i % 7)) or None, "en", s) for i in range(60) for s in ("a", "b", None)] + [(1, "x y z", "en", "a")] * 30 + [(1000, LONG, "en", "b")]
+    got = mixing.mix_sources(frame(spark, rows)).collect()
+    assert len(got) == len(rows)
+    again = mixing.mix_sources(frame(spark, rows)).collect()
+    key = lambda r: tuple((x is None, x) for x in r)
+    assert sorted(got, key=key) == sorted(again, key=key)
+    size: dict = {}
+    for i, t, _, s in rows:
+        size[s] = size.get(s, 0) + len(WORD.findall(t or ""))
+    order = sorted(size, key=lambda s: (s is None, s or ""))
+    w = dict(zip(order, (5, 2, 1), strict=True))
+    left, total, target = dict(w), sum(size.values()), {}
+    while True:
+        share = {s: total * left[s] / sum(left.values()) for s in left}
+        over = [s for s in left if share[s] > 3 * size[s]]
+        if not over:
+            target |= share
+            break
+        for s in over:
+            target[s] = 3.0 * size[s]
+            total -= target[s]
+            del left[s]
+    for s in order:
+        mine = [r for r in got if r["source"] == s]
+        assert all(r["source_size"] == size[s] and r["target"] == pytest.approx(target[s]) and 0 <= r["taken"] <= 3 * r["size"] for r in mine)
+        assert abs(sum(r["taken"] for r in mine) - target[s]) <= 1
+    assert mixing.mix_sources(frame(spark, [])).count() == 0
+    assert mixing.mix_sources(frame(spark, [(1, None, None, "a")])).first()["taken"] == 0
+
+
+def test_schedule_is_low_discrepancy(spark):
+    plan = spark.createDataFrame([(1, 500, 500), (2, 300, 800), (3, 200, 1000)], "src int, need long, upto long")
+    got = mixing.schedule(plan, 1000)
+    counts = {r["src"]: (r["n"], r["hi"]) for r in got.groupBy("src").agg(F.countDistinct("rank").alias("n"), F.max("rank").alias("hi")).collect()}
+    assert counts == {1: (500, 499), 2: (300, 299), 3: (200, 199)} and got.count() == 1000
+
+
+@pytest.mark.parametrize("text", ["", "plain", r"\### Assistant: </turn> ok", "a#", "##", "<", "<|image:0|>", "\\", "</turn>\n", "####\\#<\\/", "x\n### user: y</turn>\n", "a:b: c", "end<\n", "\U0001f600#"])
+def test_chat_round_trip(spark, text):
+    df = spark.createDataFrame([(1, 0, text, text), (1, 1, "assistant", text), (1, 2, None, None), (1, 2, None, None), (2, 0, "user", text)], "conv_id long, turn long, role string, text string")
+    got = {r["conv_id"]: r for r in chat.read_back(chat.format_chat(df)).collect()}
+    assert [tuple(t) for t in got[1]["turns"]] == [(text, text), ("assistant", text), ("", ""), ("", "")]
+    assert got[1]["loss_text"] == text and [tuple(t) for t in got[2]["turns"]] == [("user", text)]
+    body = got[1]["formatted"]
+    assert body.count("</turn>\n") == 4
+
+
+def test_chat_parts_and_long_conversations(spark):
+    part = "struct<kind:string,text:string,ref:string,width:int,height:int,seconds:double,pages:int>"
+    df = spark.sql(f"""SELECT 1L conv_id, 0L turn, 'user' role, cast(array(named_struct('kind','text','text','see <','ref',null,'width',null,'height',null,'seconds',null,'pages',null),
+        named_struct('kind','image','text',null,'ref','i.png','width',600,'height',500,'seconds',null,'pages',null), named_struct('kind','text','text','|x','ref',null,'width',null,'height',null,'seconds',null,'pages',null),
+        named_struct('kind','document','text',null,'ref','d.pdf','width',null,'height',null,'seconds',null,'pages',3)) AS array<{part}>) parts, 'z' numbers""")
+    r = chat.format_chat(df, text_col=None, parts_col="parts").first()
+    assert r["formatted"] == "### user: see <\\<|image:0|>|x<|document:1|></turn>\n"
+    assert [(a["index"], a["kind"], a["ref"], a["tokens"]) for a in r["attachments"]] == [(0, "image", "i.png", 512), (1, "document", "d.pdf", 3072)] and r["expanded_tokens"] == 3584
+    rows = spark.range(3000).selectExpr("7L conv_id", "id turn", "if(id % 2 = 0, 'user', 'assistant') role", "concat('t', id) text")
+    got = chat.read_back(chat.format_chat(rows)).first()
+    assert [t["text"] for t in got["turns"]] == [f"t{i}" for i in range(3000)] and got["loss_text"] == "".join(f"t{i}" for i in range(1, 3000, 2))
+    assert chat.format_chat(rows.limit(0)).count() == 0
+
+
+def test_secrets(spark):
+    a, key = "token = password: abcdefghijkl9", "AKIA" + "B" * 16
+    texts = [a, f"api_key='{'k' * 12}' {key}", "PASSWD:=x", "deadbeefdeadbeef" * 2 + f" \U0001f600 {key}AA", None, "", "secret=secret=abcdefghijklm", "ſecret=abcdefghijklmn", "x" * 1000 + " 0123456789abcdef0 ghp_" + "Z" * 36, f"a {key} b", f"{key}", f"{key}"]
+    rows = [(i, t, "en", f"s{i % 5}" if i else None) for i, t in enumerate(texts)] + [(1, texts[1], "en", "s1")]
+    got = secrets.scan_secrets(frame(spark, rows)).collect()
+    assert len(got) == len(rows)
+    kinds = [("assign", re.compile(secrets.BASE[0][1].replace("(?i:", "(?ai:")), 2, 12), ("access", re.compile(secrets.BASE[1][1]), 0, 18), ("hex", re.compile("[0-9a-f]+"), 0, 16)]
+    for r in got:
+        t = texts[r["doc_id"]] or ""
+        want = sorted((m.start(), i, m.end(), k) for i, (k, p, g, n) in enumerate(kinds) for m in p.finditer(t) if len(m[g]) >= n)
+        assert [(s["start"], s["order"], s["end"], s["kind"]) for s in r["spans"] if s["base"]] == want
+        for s in r["spans"]:
+            if t[s["start"] : s["end"]] == key:
+                assert s["verdict"] == "example" and s["owners"] == 3
+    out = {r["doc_id"]: r["text"] for r in secrets.redact_live(frame(spark, rows)).collect()}
+    assert out[3].startswith("[SECRET]") and out[9] == f"a {key} b" and out[4] is None and out[8].endswith("[SECRET]")
+    assert secrets.scan_secrets(frame(spark, [])).count() == 0 and secrets.redact_live(frame(spark, [])).count() == 0
+
+
+def test_bpe_is_tiktoken(spark):
+    import base64
+
+    import public_tokenizers as P
+    import tiktoken
+
+    path = P.path("byte_bpe_50k.tiktoken")
+    ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, open(path, "rb"))}
+    enc = tiktoken.Encoding("own", pat_str=P.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    texts = [r[1] for r in ROWS] + ["a" * 3000, "ab" * 700 + "c", "中文 ไทย <|endoftext|> don't  \n\n x", "Zwölf Boxkämpfer jagen " * 20, "  x  "]
+    df = spark.createDataFrame([(i, t, 7) for i, t in enumerate(texts)], "doc_id long, text string, ids int")
+    for r in bpe.encode_documents(spark, df, keep=True).collect():
+        want = enc.encode_ordinary(texts[r["doc_id"]] or "")
+        assert np.frombuffer(r["ids"], "<u4").tolist() == want and r["n_tokens"] == len(want)
+        assert r["decoded_sha256"] == sha(texts[r["doc_id"]] or "") and r["ids_sha256"] == sha(np.array(want, "<u4").tobytes())
+    assert bpe.encode_documents(spark, df.limit(0)).count() == 0
+
+
+def _brute_repeats(docs, n=50):
+    first: dict = {}
+    for d, t in docs:
+        for i in range(len(t) - n + 1) if d is not None else ():
+            first[t[i : i + n]] = min(first.get(t[i : i + n], d), d)
+    out = []
+    for d, t in docs:
+        gone = np.zeros(len(t), bool)
+        for i in range(len(t) - n + 1) if d is not None else ():
+            if first[t[i : i + n]] < d:
+                gone[i : i + n] = True
+        out.append((d, len(t), int(gone.sum()), int((np.diff(np.concatenate([[0], gone])) == 1).sum()), sha(bytes(b for b, g in zip(t, gone, strict=True) if not g))))
+    return sorted(out, key=str)
+
+
+def test_suffix_dedup(spark):
+    rng = np.random.default_rng(3)
+    base = [bytes(rng.integers(97, 97 + int(rng.integers(2, 20)), 300).astype(np.uint8)).decode() for _ in range(8)] + ["é\U0001f600" * 60, "a" * 500]
+    rows = [(int(rng.integers(0, 40)) if rng.random() > 0.05 else None, "".join(base[j][: int(rng.integers(40, 300))] for j in rng.integers(0, len(base), int(rng.integers(0, 4)))) or None, "en", "s") for _ in range(60)] + ROWS[:7]
+    got = sorted((tuple(r)[:5] for r in sufdedup.remove_repeats(frame(spark, rows)).collect()), key=str)
+    assert got == _brute_repeats([(i, (t or "").encode()) for i, t, *_ in rows])
+    assert sufdedup.remove_repeats(frame(spark, [])).count() == 0
+    r = {x["doc_id"]: x for x in sufdedup.remove_repeats(frame(spark, [(1, LONG, "", ""), (2, "start " + LONG + " end", "", "")])).collect()}
+    assert r[1]["n_removed"] == 0 and r[2]["n_bytes"] - r[2]["n_removed"] < 12
+
+
+def test_suffix_order_is_right():
+    """Within a block suffixes come in the order of their first bytes, wherever one cover rank decides."""
+    rng = np.random.default_rng(1)
+    text = np.concatenate([rng.integers(97, 99, 600).astype(np.uint8), np.zeros(70, np.uint8)])
+    at = np.arange(0, 500, 7)
+    order, equal = sufdedup.sort_block(text, at)
+    cut = [bytes(text[i : i + 56]) for i in at[order]]
+    assert cut == sorted(cut) and equal[1:].tolist() == [a[:50] == b[:50] for a, b in zip(cut, cut[1:], strict=False)]
+
+
+def test_gram_hashes_and_groups(spark):
+    data = np.frombuffer(LONG.encode(), np.uint8)[:5000]
+    h = sufdedup.gram_hashes(data)
+    assert len(h) == 5000 - 25 and len(set(h.tolist())) == len({bytes(data[i : i + 26]) for i in range(4975)})
+    got = [packed.Group.read(r.asDict()) for r in packed.pack(frame(spark, ROWS), "doc_id", "text", 1000).collect()]
+    texts = sorted(bytes(g.data[g.offsets[i] : g.offsets[i + 1]]) for g in got for i in range(len(g.ids)))
+    assert texts == sorted((t or "").encode() for _, t, *_ in ROWS)
+
+
+def _brute_join(rows, words, percent):
+    up = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+    sets = []
+    for _, t, *_ in rows:
+        w = WORD.findall((t or "").translate(up))
+        sets.append({tuple(w[i : i + words]) for i in range(len(w) - words + 1)} if len(w) >= words else {tuple(w)} if w else set())
+    root = list(range(len(rows)))
+
+    def find(a):
+        while root[a] != a:
+            a = root[a]
+        return a
+
+    for a in range(len(rows)):
+        for b in range(a):
+            if sets[a] and sets[b] and 100 * len(sets[a] & sets[b]) >= percent * len(sets[a] | sets[b]):
+                root[find(a)] = find(b)
+    group: dict = {}
+    for i in range(len(rows)):
+        group.setdefault(find(i), []).append(rows[i][0])
+    low = {k: min((x for x in v if x is not None), default=None) for k, v in group.items()}
+    return sorted(((rows[i][0], len(sets[i]), low[find(i)] if sets[i] else rows[i][0]) for i in range(len(rows))), key=str)
+
+
+@pytest.mark.parametrize("words,percent", [(4, 85), (5, 80)])
+def test_ngram_join(spark, words, percent):
+    rng = np.random.default_rng(8)
+    rows = list(ROWS)
+    for g in range(12):
+        n = int(rng.choice([3, 5, 9, 14, 30, 80, 200]))
+        origin = [f"w{x}" for x in rng.integers(0, 5000, n)]
+        for j in range(9):
+            w = list(origin)
+            for _ in range(int(rng.integers(0, max(1, n // 25) + 2))):
+                w[int(rng.integers(0, n))] = f"v{rng.integers(0, 99999)}"
+            rows.append((100 + g * 10 + j, " ".join(w[: n - j % 2]), "en", "a"))
+    rows = [r for r in rows if r[0] not in (10, 11)]
+    got = sorted((tuple(r)[:3] for r in ngramjoin.jaccard_join(frame(spark, rows), words=words, percent=percent).collect()), key=str)
+    assert got == _brute_join(rows, words, percent)
+
+
+def test_ngram_join_edges(spark):
+    assert ngramjoin.jaccard_join(frame(spark, [])).count() == 0
+    got = {r["doc_id"]: r["component_id"] for r in ngramjoin.jaccard_join(frame(spark, [(3, LONG, "", ""), (1, LONG + " tail of it", "", ""), (2, "other words are here now", "", "")])).collect()}
+    assert got == {3: 1, 1: 1, 2: 2}
+
+
+def test_pigeonhole_and_components(spark):
+    from loamlearn.llm.common import Workspace
+
+    rng = np.random.default_rng(0)
+    for n in (1, 2, 6, 7, 13, 40, 150, 600):
+        for percent in (80, 85):
+            for _ in range(15):
+                x = np.unique(rng.integers(0, 2**62, n).astype(np.uint64))
+                y = np.unique(np.concatenate([rng.permutation(x)[int(rng.integers(0, n // 8 + 1)) :], rng.integers(0, 2**62, int(rng.integers(0, n // 8 + 1))).astype(np.uint64)]))
+                i = len(np.intersect1d(x, y))
+                if 100 * i >= percent * (len(x) + len(y) - i):
+                    k, who, *_ = ngramjoin.signatures(np.concatenate([x, y]), np.array([0, len(x), len(x) + len(y)]), percent)
+                    assert len(np.intersect1d(k[who == 0], k[who == 1]))
+    links = spark.createDataFrame([(i, i + 1) for i in range(40)] + [(100, 200), (200, 150), (7, 7)], "a long, b long")
+    got = {r["node"]: r["least"] for r in ngramjoin.components(links, Workspace(spark, "t")).collect()}
+    assert got == {i: 0 for i in range(41)} | {100: 100, 150: 100, 200: 100}
+
+
+def test_language_id(spark):
+    words = {"en": "the of and in is ing tion".split(), "de": "der und ung keit schaft über".split(), "fr": "le les était eau tion que".split()}
+    rng = np.random.default_rng(2)
+    text = lambda k, n: " ".join("".join(rng.choice(words[k], int(rng.integers(1, 3)))) for _ in range(n))
+    rows = [(i, text(k, int(rng.integers(3, 60))), k, "s") for i, k in enumerate(["en", "de", "fr"] * 60)]
+    docs = frame(spark, rows + [(500, None, None, "s"), (501, "12 ... 34", "en", "s"), (502, "", "en", "s"), (None, text("de", 20000), None, "s")])
+    train = docs.filter(~langid.held_out(F.col("doc_id")))
+    model = langid.fit(train)
+    got = langid.identify(docs, model, carry=("doc_id", "lang", "text")).collect()
+    held = [r for r in got if r["doc_id"] is not None and r["doc_id"] < 400 and zlib.crc32(str(r["doc_id"]).encode()) % 4 == 2]
+    assert np.mean([r["lang_pred"] == r["lang"] for r in held]) > 0.95
+    assert all(0 <= r["lang_score"] <= 1 for r in got)
+    assert {r["lang_pred"] for r in got if r["doc_id"] in (500, 501, 502)} == {"und"} and [r["lang_pred"] for r in got if r["doc_id"] is None] == ["de"]
+    # a long text's prediction reads all of it: slices and single reads agree
+    one = model.margins([(text("de", 20000)).encode()])
+    assert one.shape == (1, 3)
+    none = langid.fit(docs.filter("lang = 'none'"))
+    assert {r["lang_pred"] for r in langid.identify(docs, none).collect()} == {"und"}
+    only = langid.fit(docs.filter("lang = 'fr'"))
+    assert langid.identify(docs.filter("doc_id = 0"), only).first()["lang_score"] == 1
+    assert langid.identify(docs.limit(0), model).count() == 0
+
+
+def test_codebook():
+    for n in (2, 3, 5, 9, 40):
+        code = langid.codebook(n).astype(int)
+        distance = (code.shape[1] - code @ code.T) // 2
+        assert distance[~np.eye(n, dtype=bool)].min() >= max(1, code.shape[1] // 4)
+
+
+def test_audio(spark):
+    got = audio.media_columns(frame(spark, ROWS)).collect()
+    assert len(got) == len(ROWS)
+    texts = {r[0]: r[1] for r in ROWS}
+    for r in got:
+        b = (texts[r["doc_id"]] or "").encode()
+        p = b + b"\xff" * (max(576, -(-len(b) // 576) * 576) - len(b))
+        with wave.open(io.BytesIO(r["media"])) as w:
+            assert (w.getsampwidth(), w.getnchannels(), w.readframes(10**8)) == (1, 1, p)
+        assert (r["n_bytes"], r["payload_bytes"], r["payload_sha256"], r["tail_crc32"], r["media_sha256"]) == (len(b), len(p), sha(p), zlib.crc32(p[-32:]), sha(r["media"]))
+        assert len(r["tensor"]) == audio.CELLS * audio.N_MEL
+    same = [r["feature"] for r in got if texts[r["doc_id"]] == BASE]
+    assert len(set(same)) == 1
+    t = audio.to_arrow(got)
+    assert t.schema.field("log_mel").type.shape == [audio.CELLS, audio.N_MEL]
+    assert audio.media_columns(frame(spark, [])).count() == 0 and audio.features(audio.to_wav(b""))["n_frames"] == 0
+
+
+def test_audio_signal():
+    t = np.arange(16000) / audio.RATE
+    loud = np.where((t > 0.5) & (t < 1.0), np.sin(2 * np.pi * 440 * t), 0)
+    f = audio.features(audio.to_wav(np.round(loud * 100 + 128).astype(np.uint8).tobytes()))
+    assert len(f["spans"]) == 1 and abs(f["spans"][0][0] - 0.5) < 0.1 and abs(f["spans"][0][1] - 1.0) < 0.1
+    tone = audio.resample(np.sin(2 * np.pi * 500 * t).astype(np.float32))
+    assert np.argmax(np.abs(np.fft.rfft(tone))) == pytest.approx(500 * len(tone) / (audio.RATE / 2), abs=2)
+    x = np.random.default_rng(0).normal(size=500).astype(np.float32)
+    taps = audio._phases()[0]
+    pad = np.concatenate([np.zeros(audio.TAPS - 1, np.float32), x])
+    want = [sum(taps[j] * pad[2 * k + audio.TAPS - 1 - j] for j in range(audio.TAPS)) for k in range(250)]
+    np.testing.assert_allclose(audio.resample(x), want, atol=1e-5)
+
+
+def test_pii(spark):
+    t = "Mr. John Smith, jane.doe@mail.example.com, +1 (836) 555-9331, 4111 1111 1111 1111, 10.20.30.40; Smith again. JANE.DOE@mail.example.com"
+    rows = [(1, t, "en", "s"), (2, "mail jane.doe@mail.example.com from 10.20.30.40 on 2024-01-01, 3.5% of 12345", "en", "s"), (3, None, "en", "s"), (4, "clean text 123", "en", "s"), (1, t, "en", "s")] + [(100 + i, f"ip 9.9.9.{i} card {4000000000000000 + i}", "en", "s") for i in range(200)]
+    got = pii.replace_personal(frame(spark, rows)).collect()
+    assert len(got) == len(rows)
+    by = {r["doc_id"]: r for r in got}
+    out = by[1]["text"]
+    for secret in ("John", "Smith", "jane", "836", "555", "4111", "10.20.30.40"):
+        assert secret.lower() not in out.lower()
+    mail = re.search(r"[\w.]+@[\w.]+", out)[0]
+    assert mail in by[2]["text"] and mail.upper().split("@")[0] in out and mail.endswith(".com")
+    card = re.search(r"\d{4} \d{4} \d{4} \d{4}", out)[0].replace(" ", "")
+    assert pii.luhn(card) and re.search(r"\+1 \(\d{3}\) \d{3}-\d{4}", out)
+    assert by[3]["text"] is None and by[4]["text"] == "clean text 123" and "2024-01-01, 3.5% of 12345" in by[2]["text"]
+    swapped = [by[100 + i]["text"] for i in range(200)]
+    ips = {s.split()[1] for s in swapped}
+    assert len(ips) == 200 and len({s.split()[3] for s in swapped}) == 200 and not ips & {f"9.9.9.{i}" for i in range(200)} | ips & {"10.20.30.40"}
+    assert pii.replace_personal(frame(spark, [])).count() == 0
+
+
+def test_pii_collisions_are_redrawn(spark, monkeypatch):
+    from loamlearn.llm.common import Workspace
+
+    df = spark.createDataFrame([("ip", f"1.1.1.{i}") for i in range(60)] + [("name", f"m Name{chr(97 + i % 26)}{i}") for i in range(20)], "kind string, form string")
+    got = pii.surrogates(df, b"k", Workspace(spark, "t")).collect()
+    assert len(got) == 80 == len({(r["kind"], r["surrogate"]) for r in got}) and not {r["form"] for r in got} & {r["surrogate"] for r in got}
