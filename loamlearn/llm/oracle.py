@@ -43,5 +43,25 @@ _JOIN = f"""WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(translate(tex
  SELECT d.doc_id, coalesce(n.n,0)::BIGINT AS n_shingles, m.c AS component_id FROM documents AS d LEFT JOIN n ON n.doc_id=d.doc_id JOIN (SELECT x, min(y) AS c FROM r GROUP BY x) AS m ON m.x=d.doc_id"""
 
 
+
+
+def _kind(order: int, kind: str, pattern: str, group: int, least: int) -> str:
+    q = pattern.replace("'", "''")
+    start = "list_sum(list_transform(pieces[1:i], lambda p: length(p))) + coalesce(list_sum(list_transform(hits[1:i-1], lambda p: length(p))), 0)"
+    return f"""SELECT rid, src, {order} AS o, '{kind}' AS kind, u.s::BIGINT AS s, (u.s + u.n)::BIGINT AS e, u.v FROM (SELECT rid, src, unnest(list_transform(range(1, len(hits)+1), lambda i: {{'s': {start}, 'n': length(hits[i]), 'v': vals[i]}})) AS u
+ FROM (SELECT rid, src, regexp_extract_all(t, '{q}', 0) AS hits, regexp_extract_all(t, '{q}', {group}) AS vals, string_split_regex(t, '{q}') AS pieces FROM h)) WHERE length(u.v) >= {least}"""
+
+
+def _secrets_sql() -> str:
+    from .secrets import BASE, KINDS
+
+    n = len(BASE)
+    joined = "string_agg(kind || ':' || s || ':' || e, ',' ORDER BY s, o)"
+    return f"""WITH h AS (SELECT row_number() OVER () AS rid, doc_id, coalesce(source, chr(1)) AS src, coalesce(text, '') AS t FROM documents),
+ f AS ({' UNION ALL '.join(_kind(i, *k) for i, k in enumerate(KINDS))}), w AS (SELECT v, count(DISTINCT src) AS owners FROM f GROUP BY v),
+ a AS (SELECT rid, count(*) FILTER (o=0) AS n_assign, count(*) FILTER (o=1) AS n_access, count(*) FILTER (o=2) AS n_hex, {joined} FILTER (o<{n}) AS base, {joined} AS spans, count(*) FILTER (owners=1) AS n_live, count(*) FILTER (owners>1) AS n_copied FROM f JOIN w USING (v) GROUP BY rid)
+ SELECT doc_id, coalesce(n_assign,0) AS n_assign, coalesce(n_access,0) AS n_access, coalesce(n_hex,0) AS n_hex, sha256(coalesce(base,'')) AS base_sha256, coalesce(spans,'') AS spans, coalesce(n_live,0) AS n_live, coalesce(n_copied,0) AS n_copied FROM h LEFT JOIN a ON a.rid=h.rid"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op1_topk_search": _TOPK, "op2_chat_format": _CHAT, "op4_mix_sources": _MIX, "op10_ngram_join": _JOIN}
+    return {"op1_topk_search": _TOPK, "op2_chat_format": _CHAT, "op4_mix_sources": _MIX, "op8_secret_scan": _secrets_sql(), "op10_ngram_join": _JOIN}
