@@ -42,7 +42,7 @@ from .common import Workspace, mix64
 WORDS, PERCENT = 4, 85
 BUCKET_BYTES, LEVELS = 8 << 20, 5
 #: Cost model: share of an ordinary text that unrelated ones may hold too, and a candidate's cost in signatures.
-COMMON_SHARE, CANDIDATE_COST = 0.35, 200.0
+COMMON_SHARE, CANDIDATE_COST = 0.2, 50.0
 #: Share of a band's sets that may need another level.
 AGAIN_SHARE = 0.08
 
