@@ -605,6 +605,57 @@ def save_modes(spark, d):
     return scoring.saved_form(a, scoring.AS_FEATURE, F.col("p").cast("array<string>"), F.col("line"), model="m").select(*KEY, "labelled", F.col("value").alias("features"))
 
 
+@query(f"SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, l_extendedprice, round({Z}+{SHIFT}::DOUBLE,6) AS score FROM ({S_BIN})")
+def thompson_score(spark, d):
+    """A draw with alpha 0 is the model itself."""
+    w = continuous.thompson(np.array([BIAS, *FIXED.values()]), np.ones(6), 0.0, 3)
+    got = continuous.scored(_index_rows(spark, d), continuous.build("linear", 6), w)
+    return got.select(*KEY, r6(F.col("scores")[0] + SHIFT).alias("score"))
+
+
+@query(f"""SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, l_extendedprice, round((exp(g)*1.5::DOUBLE-0.5::DOUBLE)/(exp(g)+1)+{SHIFT}::DOUBLE,6) AS score FROM (SELECT *, 0.5::DOUBLE-0.05::DOUBLE*quantity+3*discount AS g FROM ({S_BIN}))""")
+def gbsdt_score(spark, d):
+    m = continuous.build("gbsdt", 6, k=2)
+    w = np.array([1.5, -0.5, 0.5, -0.05, 0.0, 3.0, 0.0, 0.0])
+    return continuous.scored(_index_rows(spark, d), m, w).select(*KEY, r6(F.col("scores")[0] + SHIFT).alias("score"))
+
+
+@query(f"""SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, l_extendedprice, round(a*b*(1+0.1::DOUBLE*quantity)+a*(1-b)*(-0.5::DOUBLE)+(1-a)*c*(0.25::DOUBLE+discount)+(1-a)*(1-c)*(0.75::DOUBLE-price)+{SHIFT}::DOUBLE,6) AS score FROM
+ (SELECT *, 1/(1+exp(-(0.5::DOUBLE-0.05::DOUBLE*quantity))) AS a, 1/(1+exp(-(-0.2::DOUBLE+3*discount))) AS b, 1/(1+exp(-(0.1::DOUBLE+tax))) AS c FROM ({S_BIN}))""")
+def gbhmlr_score(spark, d):
+    m = continuous.build("gbhmlr", 6, k=4)
+    w = np.array([[0.5, -0.2, 0.1, 1, -0.5, 0.25, 0.75], [-0.05, 0, 0, 0.1, 0, 0, 0], [0, 0, 0, 0, 0, 0, -1], [0, 3, 0, 0, 0, 1, 0], [0, 0, 1, 0, 0, 0, 0], [0, 0, 0, 0, 0, 0, 0]], float)
+    return continuous.scored(_index_rows(spark, d), m, w.ravel()).select(*KEY, r6(F.col("scores")[0] + SHIFT).alias("score"))
+
+
+@query("SELECT n_nationkey, n_name AS value FROM nation WHERE n_regionkey <> 0 UNION ALL SELECT n_nationkey, lower(n_name) FROM nation WHERE n_regionkey <> 0")
+def line_hook(spark, d):
+    lines = table(spark, d, "nation").select(F.concat_ws("|", "n_regionkey", "n_name").alias("value"), "n_nationkey")
+    hook = lambda b: [] if b.startswith(b"0|") else [b.decode()[2:], b.decode()[2:].lower()]
+    return src.apply_hook(lines, hook).select("n_nationkey", "value")
+
+
+@query(f"SELECT round(sum(w*{P})/sum(w),6) AS weighted, round(avg({P}),6) AS real FROM ({S_BIN})")
+def weighted_vs_real(spark, d):
+    return scored_bin(spark, d).agg(r6(F.sum(F.col("w") * F.col("p")) / F.sum("w")).alias("weighted"), r6(F.avg("p")).alias("real"))
+
+
+@query()
+def bins_count(spark, d):
+    return binning.by_count(long_bin(spark, d), 20)
+
+
+@query()
+def bins_rate(spark, d):
+    return binning.by_rate(long_bin(spark, d), 0.01, 12)
+
+
+@query()
+def instance_sampling(spark, d):
+    rows = s_bin(spark, d).select("y", F.col("w").alias("weight"))
+    return feat.instance_sample(rows, 0.5, 11, compensate=True).groupBy("y").agg(F.count(F.lit(1)).alias("n"), F.sum("weight").alias("weight"))
+
+
 # ---------------------------------------------------------------- training: rows only
 @query()
 def lbfgs_linear(spark, d):
@@ -628,3 +679,34 @@ def softtree_train(spark, d):
     rows = _index_rows(spark, d).select(F.array("y").alias("label"), F.col("w").alias("weight"), "idx", "val")
     e = continuous.train_ensemble(rows, "gbmlr", 6, "sigmoid", 2, optim.Settings(max_iter=4), k=2, l2=(0.01,))
     return spark.createDataFrame([(t, i, float(x)) for t, (_, w) in enumerate(e.trees) for i, x in enumerate(w)], "tree int, i int, w double")
+
+
+def _train_test(spark, d):
+    rows = _index_rows(spark, d).select(F.array("y").alias("label"), F.col("w").alias("weight"), "idx", "val", (F.pmod(F.xxhash64(*KEY), F.lit(5)) == 0).alias("test")).persist()
+    return rows, rows.filter("NOT test").drop("test"), rows.filter("test").drop("test")
+
+
+@query()
+def hyper_grid(spark, d):
+    rows, tr, te = _train_test(spark, d)
+    m = continuous.build("linear", 6)
+    fit = lambda a, b: ((t := continuous.train(tr, m, "sigmoid", optim.Settings(max_iter=3), (a,), (b,), test=te)).test_loss, t)
+    _, _, tried = optim.grid_search(fit, (0.0, 0.01, 1), (0.001, 0.1, 1))
+    rows.unpersist()
+    return spark.createDataFrame([(a, b, float(v)) for (a, b), v in tried.items()], "l1 double, l2 double, test_loss double")
+
+
+@query()
+def hyper_hoag(spark, d):
+    rows, tr, te = _train_test(spark, d)
+    m, mask = continuous.build("linear", 6), np.array([0.0, 1, 1, 1, 1, 1])
+    weight = tr.agg(F.sum("weight")).first()[0]
+
+    def fit(lam):
+        t = continuous.train(tr, m, "sigmoid", optim.Settings(max_iter=3), (0.0,), (lam,))
+        v, g, n = continuous.evaluate(te, m, "sigmoid", t.w)
+        return t.result, v / n, g / n
+
+    _, tried = optim.hoag(fit, 0.1, weight, mask, outer_iter=3)
+    rows.unpersist()
+    return spark.createDataFrame([(float(a), float(b)) for a, b in tried], "l2 double, test_loss double")
