@@ -20,6 +20,8 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import give_back
+
 #: Block to which payloads are padded, and the byte that pads.
 BLOCK, PAD = 576, 255
 RATE = 8000
@@ -180,6 +182,7 @@ def media_columns(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
                     rows = []
             if rows:
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), TYPES(pa), strict=True)], names)
+        give_back()
 
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, SCHEMA)
 

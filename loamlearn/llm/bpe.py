@@ -21,9 +21,11 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .common import give_back
+
 WIDEST = 1024
 #: Pieces whose ids a worker remembers, and bytes of pieces in one matrix.
-REMEMBERED, MATRIX_CELLS = 300_000, 1 << 20
+REMEMBERED, MATRIX_CELLS = 150_000, 1 << 18
 _NONE = np.int32(2**31 - 1)
 _HASH = np.uint64(0x9E3779B97F4A7C15)
 
@@ -178,7 +180,7 @@ def _tokenizer(ranks: bytes, pattern: str) -> Tokenizer:
 
 
 #: Characters of texts whose pieces are gathered before a matrix is built.
-GATHERED = 1 << 22
+GATHERED = 1 << 20
 
 
 def encode(docs: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text", keep: bool = True) -> DataFrame:
@@ -207,6 +209,8 @@ def encode(docs: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_id
                     [ids.slice(first, at - first), pa.array([len(c) // 4 for c in codes], pa.int64()), pa.array(codes if keep else [None] * len(codes), pa.binary()), pa.array([hashlib.sha256(c).hexdigest() for c in codes]), pa.array([hashlib.sha256(tok.decode(c)).hexdigest() for c in codes])],
                     ["doc_id", "n_tokens", "ids", "ids_sha256", "decoded_sha256"],
                 )
+        tok.cache = {}  # the worker lives on, beside the executor's heap
+        give_back()
 
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, "doc_id long, n_tokens long, ids binary, ids_sha256 string, decoded_sha256 string")
 

@@ -22,10 +22,14 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import give_back
+
 ORDERS, BUCKET_BITS = (2, 3, 4), 14
 DIM = len(ORDERS) << BUCKET_BITS
 #: Bytes read at once, and the n-gram's share of the evidence: overlapping n-grams repeat each other.
 SLICE, EVIDENCE = 1 << 18, 0.25
+#: Rows predicted at once.
+ROWS = 512
 #: A gap of losses under this marks the text as ambiguous.
 AMBIGUOUS_GAP = 0.1
 UNKNOWN = "und"
@@ -152,6 +156,7 @@ def fit(labelled: DataFrame, text_col: str = "text", lang_col: str = "lang", sam
                 got = counts_of([text.as_py().encode()])
                 sums[lang] = sums[lang] + got if lang in sums else got
         yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.string()), pa.array([v.astype("<i8").tobytes() for v in sums.values()], pa.binary())], ["lang", "counts"])
+        give_back()
 
     def add(table):
         import pyarrow as pa
@@ -182,15 +187,20 @@ def identify(docs: DataFrame, model: Model, text_col: str = "text", carry: tuple
         import pyarrow as pa
 
         m = sent.value
-        for batch in batches:
-            n = batch.num_rows
-            letters = batch.column(1).to_numpy(zero_copy_only=False).astype(bool)
-            names, score, unsure = np.full(n, UNKNOWN, object), np.zeros(n), np.ones(n, bool)
-            if m.languages and letters.any():
-                at = np.flatnonzero(letters)
-                best, share, gap = m.decode(m.margins([batch.column(0)[int(i)].as_py().encode() for i in at]))
-                names[at], score[at], unsure[at] = np.array(m.languages, object)[best], share, gap < AMBIGUOUS_GAP
-            yield pa.RecordBatch.from_arrays([*batch.columns[2:], pa.array(names, pa.string()), pa.array(score), pa.array(unsure)], list(schema.names))
+        for whole in batches:
+            for at in range(0, whole.num_rows, ROWS):
+                yield predict(pa, m, whole.slice(at, ROWS))
+        give_back()
+
+    def predict(pa, m, batch):
+        n = batch.num_rows
+        letters = batch.column(1).to_numpy(zero_copy_only=False).astype(bool)
+        names, score, unsure = np.full(n, UNKNOWN, object), np.zeros(n), np.ones(n, bool)
+        if m.languages and letters.any():
+            at = np.flatnonzero(letters)
+            best, share, gap = m.decode(m.margins([batch.column(0)[int(i)].as_py().encode() for i in at]))
+            names[at], score[at], unsure[at] = np.array(m.languages, object)[best], share, gap < AMBIGUOUS_GAP
+        return pa.RecordBatch.from_arrays([*batch.columns[2:], pa.array(names, pa.string()), pa.array(score), pa.array(unsure)], list(schema.names))
 
     return rows.mapInArrow(run, schema)
 

@@ -16,6 +16,8 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import give_back
+
 GROUP_BYTES = 4 << 20
 GROUP_SCHEMA = "g long, n int, size long, ids binary, lost binary, offsets binary, data binary"
 BLOB = "bucket int, g long, blob binary"
@@ -110,19 +112,6 @@ def send(groups: DataFrame, emit: Callable[[Group], Iterator[dict]], schema: str
     return groups.mapInArrow(run, schema)
 
 
-def give_back() -> None:
-    """Returns freed memory to the system: workers live on between groups and stages, beside the executor's heap."""
-    import ctypes
-
-    import pyarrow as pa
-
-    pa.default_memory_pool().release_unused()
-    try:
-        ctypes.CDLL("libc.so.6").malloc_trim(0)
-    except (OSError, AttributeError):  # another C library
-        pass
-
-
 _KINDS = {"int": "int32", "long": "int64", "binary": "binary", "string": "string", "boolean": "bool_", "array<long>": "longs"}
 
 
