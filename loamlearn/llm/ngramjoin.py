@@ -10,7 +10,7 @@ signature: a scheme has E spare segments, and a set with more empty ones is inde
 hash (levels), at last by its single shingles; two sets both need that for their link to depend on it.
 
 Signatures meet in hash buckets (see ``packed``); those held by two different sets become member
-rows. Links are then found in two steps, both verified on the whole sets:
+rows, unless their set shares fewer of the scheme than any linked pair must. Links are then found in two steps, both verified on the whole sets:
 
 1. star: in each signature's group every member is compared with the group's centre, the set with
    the most partners; linked members take the centre's label;
@@ -288,6 +288,26 @@ def _holders(bucket, parts):
 ROWS = "kind int, id long, set_id long, n long, sig long, score long, weak long, band long, shingles array<long>"
 
 
+def enough(s: _Sets, held: np.ndarray, percent: int) -> np.ndarray:
+    """Which signatures are shared by a set that shares as many of their scheme as its closest possible partner demands."""
+    own = band_of(np.maximum(s.n, 1), percent)
+    role = s.who * 2 + own[s.who] - s.band  # a set's place in the scheme of its own band, and of the band below
+    shared = np.bincount(role[held > 0], minlength=2 * len(s.n))
+    need = np.ones(2 * len(s.n), np.int64)
+    high = np.array([b for _, b in bands(percent)])
+    for back in (0, 1):
+        some = np.flatnonzero(own - back >= 0)
+        double, segments, _ = _schemes(own[some] - back, percent)
+        weak = np.zeros(len(s.n), np.int64)
+        mine = s.band == own[s.who] - back
+        weak[s.who[mine]] = s.weak[mine]
+        n = s.n[some]
+        partner = n * 100 // percent if not back else np.minimum(n, high[own[some] - back])
+        least = segments + double - (100 - percent) * (n + partner) // (100 + percent) - weak[some]
+        need[2 * some + back] = np.maximum(1, np.where(double > 0, -(-least // 2), least))
+    return (held > 0) & (shared >= need)[role]
+
+
 def _members(n_buckets: int, words: int, percent: int):
     import zstandard
 
@@ -300,7 +320,7 @@ def _members(n_buckets: int, words: int, percent: int):
         none = lambda n: [None] * n
         n = len(group.ids)
         yield {"kind": [0] * n, "id": [None if x else int(i) for i, x in zip(group.ids, group.lost, strict=True)], "set_id": [int(x) if c else None for x, c in zip(s.doc_names.view(np.int64), s.sizes, strict=True)], "n": s.sizes.tolist(), "sig": none(n), "score": none(n), "weak": none(n), "band": none(n), "shingles": none(n)}
-        hit = np.flatnonzero(held)
+        hit = np.flatnonzero(enough(s, held, percent))
         score = np.bincount(s.who, held, len(s.n)).astype(np.int64)
         who = s.who[hit]
         m = len(hit)
@@ -463,10 +483,11 @@ def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     labelled = members.join(label, "set_id", "left").withColumn("label", F.coalesce("label", "set_id"))
     mixed = labelled.groupBy("sig").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).filter("lo <> hi").select("sig")
     labelled = labelled.join(mixed, "sig", "left_semi")
-    cells = F.pmod(F.xxhash64("sig"), F.lit(n_buckets)).cast("int")
+    n_cells = max(64, 4 * n_buckets)
+    cells = F.pmod(F.xxhash64("sig"), F.lit(n_cells)).cast("int")
     lists = labelled.select("sig", "set_id", "n", "weak", "band", "label", cells.alias("cell")).groupBy("cell").applyInArrow(_partners(percent), "set_id long, partners binary")
-    part = F.pmod(F.col("set_id"), F.lit(n_buckets))
-    blocks = lists.withColumn("cell", part).groupBy("cell").applyInArrow(_counted(n_buckets), "p long, q long, pairs binary, named array<long>")
+    part = F.pmod(F.col("set_id"), F.lit(n_cells))
+    blocks = lists.withColumn("cell", part).groupBy("cell").applyInArrow(_counted(n_cells), "p long, q long, pairs binary, named array<long>")
     blocks = ws.save(blocks, "blocks")
     named = blocks.select(F.col("p").alias("np"), F.col("q").alias("nq"), F.explode("named").alias("set_id")).join(sets, "set_id")
     rest = named.groupBy("np", "nq").cogroup(blocks.select("p", "q", "pairs").groupBy("p", "q")).applyInArrow(_block_verified(percent), "a long, b long")
