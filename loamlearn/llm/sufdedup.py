@@ -134,14 +134,19 @@ class _Runs:
         return k[at], first[order][at], size[order][at], inner[order][at], least, run, piece
 
 
+def grams_at(data: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """What gram_hashes gives at some positions."""
+    h = np.zeros(len(at), np.uint64)
+    for j in range(GRAM):
+        h = h * np.uint64(0x9E3779B97F4A7C15) + data[at + j] + np.uint64(1)
+    return mix64(h)
+
+
 def piece_hashes(data: np.ndarray, first: np.ndarray, size: np.ndarray) -> np.ndarray:
     """Hashes of pieces from those of the grams at their start, LENGTH - GRAM further and at their end, which cover them."""
     out = size.astype(np.uint64)
     for at in (first, first + LENGTH - GRAM, first + size - GRAM):
-        h = np.zeros(len(at), np.uint64)
-        for j in range(GRAM):
-            h = h * np.uint64(0x9E3779B97F4A7C15) + data[at + j] + np.uint64(1)
-        out = mix64(out + mix64(h))
+        out = mix64(out + grams_at(data, at))
     return out
 
 
@@ -202,7 +207,7 @@ def _send_pieces(n_buckets: int):
         squeeze = zstandard.ZstdCompressor(level=1)
         out = {"bucket": [], "g": [], "blob": []}
         for b, a, z in packed.by_bucket(key, n_buckets):
-            body = key[a:z].astype("<u8").tobytes() + least[a:z].astype("<i8").tobytes() + size[a:z].astype(np.uint8).tobytes() + inner[a:z].astype(np.uint8).tobytes() + _gather_text(group.data, first[a:z], size[a:z]).tobytes()
+            body = least[a:z].astype("<i8").tobytes() + size[a:z].astype(np.uint8).tobytes() + inner[a:z].astype(np.uint8).tobytes() + _gather_text(group.data, first[a:z], size[a:z]).tobytes()
             out["bucket"].append(b)
             out["g"].append(group.g)
             out["blob"].append(np.int64(z - a).tobytes() + np.int64(len(body)).tobytes() + squeeze.compress(body))
@@ -275,18 +280,18 @@ def _classes(bucket, parts):
         yield {"bucket": [bucket] * len(parts), "g": [g for g, _ in parts], "blob": [b for _, b in parts]}
         return
     opened = zstandard.ZstdDecompressor()
-    keys, least, size, inner, texts, owner = [], [], [], [], [], []
+    least, size, inner, texts, owner = [], [], [], [], []
     for i, (_, blob) in enumerate(parts):
         n, long = np.frombuffer(blob, "<i8", 2)
         body = opened.decompress(blob[16:], max_output_size=int(long))
-        keys.append(np.frombuffer(body, "<u8", n))
-        least.append(np.frombuffer(body, "<i8", n, 8 * n))
-        size.append(np.frombuffer(body, np.uint8, n, 16 * n).astype(np.int64))
-        inner.append(np.frombuffer(body, np.uint8, n, 17 * n).astype(np.int64))
-        texts.append(np.frombuffer(body, np.uint8, offset=18 * n))
+        least.append(np.frombuffer(body, "<i8", n))
+        size.append(np.frombuffer(body, np.uint8, n, 8 * n).astype(np.int64))
+        inner.append(np.frombuffer(body, np.uint8, n, 9 * n).astype(np.int64))
+        texts.append(np.frombuffer(body, np.uint8, offset=10 * n))
         owner.append(np.full(n, i))
-    keys, least, size, inner, texts, owner = map(np.concatenate, (keys, least, size, inner, texts, owner))
+    least, size, inner, texts, owner = map(np.concatenate, (least, size, inner, texts, owner))
     start = np.cumsum(size) - size
+    keys = grams_at(texts, start + inner)  # cheaper to hash again than to send
     number = np.concatenate([np.arange(n) for n in np.bincount(owner, minlength=len(parts))])
     # equal pieces of different groups are one, with their least document; pieces stand sorted by key
     h = piece_hashes(texts, start, size)
