@@ -22,7 +22,7 @@ import re
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Workspace
+from .common import Workspace, give_back
 
 KINDS = ("email", "phone", "ip", "card", "name")
 MALE, FEMALE = ("Mr", "Herr", "Señor", "Monsieur", "г-н"), ("Mrs", "Ms", "Miss", "Frau", "Señora", "Mme", "Madame", "г-жа")
@@ -44,8 +44,9 @@ PATTERN = re.compile(
     rf"|(?P<phone>(?<![\w+])(?:\+\d{{1,3}}[ .-]?\(?\d{{2,4}}\)?(?:[ .-]?\d{{2,4}}){{2,4}}|\(\d{{3}}\) ?\d{{3}}-\d{{4}}|\d{{3}}-\d{{3}}-\d{{4}})(?!\d))"
     rf"|(?P<name>(?<!\w)(?P<title>{'|'.join(map(re.escape, sorted(TITLES, key=len, reverse=True)))})\.? (?P<who>{_NAME}(?: {_NAME})?))"
 )
-#: What a text must hold to have any entity, in Java's syntax.
-MAYBE = r"@|[0-9]{3}|[0-9]\.[0-9]+\.|(?:" + "|".join(TITLES) + r")\.? "
+#: What a text must hold to have any entity, in Java's syntax. The first characters of all cases are one
+#: class, which the matcher passes over quickly; then each case looks back at its own.
+MAYBE = r"[@+0-9MHFSDPг](?:(?<=@)|(?<=\+)[0-9]|(?<=[0-9])(?:[0-9][0-9]|\.[0-9]+\.)|" + "|".join(f"(?<={t[0]}){t[1:]}\\.? " for t in TITLES) + ")"
 
 
 def luhn(digits: str) -> bool:
@@ -207,6 +208,7 @@ def replace_personal(docs: DataFrame, key: bytes = b"loamlearn", id_col: str = "
                 texts.append(got)
                 counts.append(n)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(texts, pa.string()), *[pa.array([n[k] for n in counts], pa.int64()) for k in KINDS]], names)
+        give_back()
 
     met = keyed.join(per, "row_key", "left").select("doc_id", "text", "forms").mapInArrow(run, schema)
     return met.unionByName(rows.filter(~maybe).select("doc_id", "text", *none))
