@@ -2,8 +2,14 @@
 
 Each language has a codeword; bit b of all codewords splits the languages in two, and a classifier
 of hashed byte n-grams (naive Bayes log-odds of the two sides) predicts that bit. The language whose
-codeword has the least logistic loss against the predicted margins is chosen; ``score`` is its
-softmax share among all codewords, and a small gap to the second makes the text ambiguous.
+codeword has the least logistic loss against the predicted margins is chosen.
+
+Losses of codewords differ by half the sum of margins times codes, so a text's gap is the sum of the
+gaps of its runs of ``RUN`` bytes. Each run is evidence for its own best language, as much as its gap
+to the second, at most ``RUN_GAP``; ``score`` is the share of this evidence that speaks for the chosen
+language. It doesn't grow with the length of the text: one language gives nearly 1, half of another
+about a half. A share under ``AMBIGUOUS_SHARE`` makes the text ambiguous, as does hardly any evidence
+at all (``AMBIGUOUS_GAP``).
 
 Classifiers are fitted on a bounded sample: about ``sample_docs`` distinct texts of each language,
 chosen by a hash. Statistics come to the driver as one count vector of fixed length a language.
@@ -30,8 +36,12 @@ DIM = len(ORDERS) << BUCKET_BITS
 SLICE, EVIDENCE = 1 << 18, 0.25
 #: Rows predicted at once.
 ROWS = 512
-#: A gap of losses under this marks the text as ambiguous.
-AMBIGUOUS_GAP = 0.1
+#: Bytes of a run, a divisor of SLICE, and its greatest gap: telling letters don't outweigh the rest of a text.
+RUN, RUN_GAP = 8, 20.0
+#: A share of evidence, or a gap of all losses, under this marks the text as ambiguous: over a third in other
+#: languages. Of 1,200 halves of labelled texts of sf0.1 that were not learned 97 in 100 or more are under it, of the
+#: 2,499 texts themselves two, which hold passages in another language.
+AMBIGUOUS_SHARE, AMBIGUOUS_GAP = 2 / 3, 0.1
 UNKNOWN = "und"
 
 _CLASS = np.full(256, 32, np.uint8)
@@ -93,47 +103,72 @@ class Model:
 
     def margins(self, texts: list[bytes]) -> np.ndarray:
         """Summed log-odds of each text (rows) and bit. A text's sums don't depend on the others."""
-        out = np.zeros((len(texts), len(self.weights)), np.float64)
+        return self.read(texts)[0]
+
+    def read(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """Margins of each text (rows) and bit, and the evidence of its runs for each language."""
+        margins = np.zeros((len(texts), len(self.weights)), np.float64)
+        evidence = np.zeros((len(texts), len(self.languages)), np.float64)
+        if not len(self.weights):
+            return margins, evidence
         group: list[int] = []
         size = 0
         for i, text in enumerate(texts):
             if len(text) > SLICE:
-                counts = np.zeros(DIM, np.int64)
                 for part in _slices(text):
-                    counts += np.bincount(ngram_slots(part).ravel(), minlength=DIM)
-                out[i] = self.weights.astype(np.float64) @ counts
+                    self._add(part, np.array([len(part)]), [i], margins, evidence)
                 continue
             group.append(i)
             size += len(text) + 5
             if size >= SLICE:
-                self._group(texts, group, out)
+                self._group(texts, group, margins, evidence)
                 group, size = [], 0
         if group:
-            self._group(texts, group, out)
-        return out * EVIDENCE
+            self._group(texts, group, margins, evidence)
+        return margins, evidence
 
-    def _group(self, texts, group, out) -> None:
+    def _group(self, texts, group, margins, evidence) -> None:
         buf = np.frombuffer(b"".join(b" " + texts[i] + b"    " for i in group), np.uint8)
-        lengths = np.array([len(texts[i]) + 5 for i in group])
-        ends = np.cumsum(lengths)
-        cuts = np.stack([ends - lengths, ends - 4], axis=1).ravel()[:-1]  # n-grams of a text, then those across its end
+        self._add(buf, np.array([len(texts[i]) + 5 for i in group]), group, margins, evidence)
+
+    def _add(self, buf, lengths, group, margins, evidence) -> None:
+        """Adds the n-grams of texts that lie one behind the other, each with the 4 bytes its last ones need."""
+        starts = np.cumsum(lengths) - lengths
+        parts = -(-(lengths - 4) // RUN) + 1  # the runs of a text, then the n-grams across its end
+        first = np.cumsum(parts) - parts
+        step = np.arange(parts.sum()) - np.repeat(first, parts)
+        across = step == np.repeat(parts - 1, parts)
+        cuts = np.where(across, np.repeat(starts + lengths - 4, parts), np.repeat(starts, parts) + RUN * step)[:-1]
         slots = ngram_slots(buf)
+        runs = np.empty((len(self.weights), int((~across).sum())), np.float64)
         for bit, w in enumerate(self.weights):
             total = w[slots[0]]
             for row in slots[1:]:
                 total = total + w[row]
-            out[group, bit] = np.add.reduceat(total.astype(np.float64), cuts)[::2]
-
-    def decode(self, margins: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Index of the chosen language, score, gap of losses to the second."""
+            runs[bit] = np.add.reduceat(total.astype(np.float64), cuts)[~across[:-1]] * EVIDENCE
+        of_text = first - np.arange(len(first))
+        support = np.zeros((len(self.languages), runs.shape[1]))
+        for bit, code in zip(runs, self.code.T, strict=True):
+            support += code[:, None] * (bit / 2)
+        own = support.argmax(axis=0)
+        ahead = np.partition(support, -2, axis=0)
+        ahead = np.minimum(ahead[-1] - ahead[-2], RUN_GAP)
+        for bit in range(len(runs)):
+            margins[group, bit] += np.add.reduceat(runs[bit], of_text)
+        for k in range(len(support)):
+            evidence[group, k] += np.add.reduceat(np.where(own == k, ahead, 0.0), of_text)
+
+    def decode(self, margins: np.ndarray, evidence: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Index of the chosen language, score, whether the text is ambiguous."""
         n = len(margins)
         if len(self.languages) == 1:
-            return np.zeros(n, int), np.ones(n), np.full(n, np.inf)
+            return np.zeros(n, int), np.ones(n), np.zeros(n, bool)
         loss = np.logaddexp(0, -margins[:, None, :] * self.code[None, :, :]).sum(axis=2)
         best = loss.argmin(axis=1)
-        least = loss[np.arange(n), best]
-        score = 1 / np.exp(np.minimum(least[:, None] - loss, 0)).sum(axis=1)
-        return best, score, np.partition(loss, 1, axis=1)[:, 1] - least
+        gap = np.partition(loss, 1, axis=1)[:, 1] - loss[np.arange(n), best]
+        whole = evidence.sum(axis=1)
+        score = np.where(whole > 0, evidence[np.arange(n), best] / np.where(whole > 0, whole, 1), 1 / len(self.languages))
+        return best, score, (score < AMBIGUOUS_SHARE) | (gap < AMBIGUOUS_GAP)
 
 
 def fit(labelled: DataFrame, text_col: str = "text", lang_col: str = "lang", sample_docs: int = 4000, alpha: float = 0.5) -> Model:
@@ -198,8 +233,8 @@ def identify(docs: DataFrame, model: Model, text_col: str = "text", carry: tuple
         names, score, unsure = np.full(n, UNKNOWN, object), np.zeros(n), np.ones(n, bool)
         if m.languages and letters.any():
             at = np.flatnonzero(letters)
-            best, share, gap = m.decode(m.margins([batch.column(0)[int(i)].as_py().encode() for i in at]))
-            names[at], score[at], unsure[at] = np.array(m.languages, object)[best], share, gap < AMBIGUOUS_GAP
+            best, share, between = m.decode(*m.read([batch.column(0)[int(i)].as_py().encode() for i in at]))
+            names[at], score[at], unsure[at] = np.array(m.languages, object)[best], share, between
         return pa.RecordBatch.from_arrays([*batch.columns[2:], pa.array(names, pa.string()), pa.array(score), pa.array(unsure)], list(schema.names))
 
     return rows.mapInArrow(run, schema)

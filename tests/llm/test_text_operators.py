@@ -261,6 +261,29 @@ def test_language_id(spark):
     assert langid.identify(docs.limit(0), model).count() == 0
 
 
+def test_language_id_flags_texts_between_languages(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    model = langid.fit(docs.filter(~langid.held_out(F.col("doc_id"))))
+    held = [(r["lang"], r["text"].split()) for r in docs.filter(langid.held_out(F.col("doc_id")) & F.col("text").rlike(r"\p{L}")).collect()]
+    by = {k: [w for lang, w in held if lang == k and len(w) >= 200] for k in model.languages}
+    rng = np.random.default_rng(4)
+    for n, least in ((10, 0.9), (50, 0.95), (200, 0.95)):  # words a half
+        pairs = [rng.choice(model.languages, 2, replace=False) for _ in range(200)]
+        halves = [" ".join(by[a][rng.integers(len(by[a]))][:n] + by[b][rng.integers(len(by[b]))][:n]) for a, b in pairs]
+        assert np.mean(model.decode(*model.read([t.encode() for t in halves]))[2]) >= least
+    best, score, between = model.decode(*model.read([" ".join(w).encode() for _, w in held]))
+    assert np.mean([model.languages[i] == k for i, (k, _) in zip(best, held, strict=True)]) > 0.98
+    assert np.mean(between) < 0.01 and np.median(score) > 0.98
+    # neither the length nor the texts beside it matter
+    one = " ".join(by["en"][0]).encode()
+    mixed = one[:2000] + " ".join(by["de"][0]).encode()[:2000]
+    score, between = model.decode(*model.read([one, mixed, one * 300, mixed * 300]))[1:]
+    assert between.tolist() == [False, True, False, True] and np.allclose(score[:2], score[2:], atol=0.05)
+    alone = [model.read([t]) for t in (one, mixed)]
+    both = model.read([one, mixed])
+    assert all(np.array_equal(both[j][i], alone[i][j][0]) for i in (0, 1) for j in (0, 1))
+
+
 def test_codebook():
     for n in (2, 3, 5, 9, 40):
         code = langid.codebook(n).astype(int)
