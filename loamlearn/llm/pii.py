@@ -1,11 +1,13 @@
 """Keyed surrogates for personal data, type-consistent, distinct and coreferent over the corpus.
 
 Entities (e-mail, phone, IP address, card number, titled name) get surrogates drawn from a keyed
-hash of type, canonical form and attempt. Formats stay: the same length, separators and letter case,
+hash of type, canonical form and attempt. Formats stay, but for later attempts: the same length, separators and letter case,
 a valid check digit where there was one, octets in range, names of the title's gender and the name's
 script. All distinct entities are checked together: a surrogate that another entity also got, or that
 is itself an entity of the corpus, is drawn again with the next attempt until none is left, so
-different entities never merge and one entity reads the same everywhere.
+different entities never merge and one entity reads the same everywhere. Later attempts draw from more
+forms (names of more syllables, longer local parts, at last longer phone numbers), so that there is
+always a free one; only IP addresses, whose number is bounded, can run out.
 
 Only texts that a cheap native test lets through are shuffled, to meet their replacements.
 
@@ -18,6 +20,7 @@ from __future__ import annotations
 import hashlib
 import hmac
 import re
+from itertools import count
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -90,7 +93,7 @@ def surrogate(key: bytes, kind: str, form: str, attempt: int) -> str:
     digit = lambda: str(d.below(10))
     if kind == "phone":
         keep = max(0, len(form) - 10)  # the country code
-        return form[:keep] + "".join(digit() for _ in form[keep:])
+        return form[:keep] + "".join(digit() for _ in form[keep:]) + "".join(digit() for _ in range(attempt // 8))
     if kind == "card":
         body = form[0] + "".join(digit() for _ in form[1:-1])
         return body + next(c for c in "0123456789" if luhn(body + c) == luhn(form)) if luhn(form) else body + digit()
@@ -101,11 +104,11 @@ def surrogate(key: bytes, kind: str, form: str, attempt: int) -> str:
         top = domain.rfind(".")
         swap = lambda s, r: "".join(digit() if c.isdigit() else (chr((1072 if "а" <= c <= "я" else 97) + r.below(26)) if c.isalpha() else c) for c in s)
         # the domain's surrogate depends on the domain alone: colleagues stay colleagues
-        return swap(local, d) + "@" + _domain(key, domain[:top], attempt) + domain[top:]
+        return swap(local + "a" * (attempt // 3), d) + "@" + _domain(key, domain[:top], attempt) + domain[top:]
     gender, who = form.split(" ", 1)
     script = _script(who)
     names = GIVEN[script]["mf"[d.below(2)] if gender == "n" else gender]
-    family = "".join(SYLLABLES[script][d.below(16)] for _ in range(3 + d.below(2))).capitalize()
+    family = "".join(SYLLABLES[script][d.below(16)] for _ in range(3 + d.below(2) + attempt // 2)).capitalize()
     return f"{names[d.below(len(names))]} {family}" if " " in who else family
 
 
@@ -118,8 +121,10 @@ def render(kind: str, mention: str, form: str) -> str:
     """The surrogate in the mention's format: its separators, its letter case."""
     if kind in ("phone", "card"):
         it = iter(form)
-        return "".join(next(it) if c.isdigit() else c for c in mention)
-    if kind == "email" and len(mention) == len(form):
+        return "".join(next(it) if c.isdigit() else c for c in mention) + "".join(it)
+    if kind == "email" and len(mention) != len(form):
+        return form.upper() if mention.isupper() else form
+    if kind == "email":
         return "".join(f.upper() if c.isupper() else f for c, f in zip(mention, form, strict=True))
     return form
 
@@ -167,10 +172,12 @@ def _drawn(key: bytes):
     return run
 
 
-def surrogates(entities: DataFrame, key: bytes, ws: Workspace, most_attempts: int = 40) -> DataFrame:
+def surrogates(entities: DataFrame, key: bytes, ws: Workspace) -> DataFrame:
     """kind, form, surrogate for distinct entities (kind, form): all surrogates differ and none is an entity."""
     given = entities.select("kind", "form", F.lit(0).alias("attempt"))
-    for i in range(most_attempts):
+    for i in count():
+        if i == 40 and 2 * entities.filter("kind = 'ip'").count() > 254**4:  # a surrogate for each and none an entity
+            raise RuntimeError("more IP addresses than could get distinct surrogates")
         drawn = ws.save(given.mapInArrow(_drawn(key), "kind string, form string, attempt int, surrogate string"), f"drawn-{i}")
         real = entities.select("kind", F.col("form").alias("surrogate")).withColumn("real", F.lit(True))
         # names clash by what is read, whatever the gender that their form notes

@@ -349,3 +349,14 @@ def test_pii_collisions_are_redrawn(spark, monkeypatch):
     df = spark.createDataFrame([("ip", f"1.1.1.{i}") for i in range(60)] + [("name", f"m Name{chr(97 + i % 26)}{i}") for i in range(20)], "kind string, form string")
     got = pii.surrogates(df, b"k", Workspace(spark, "t")).collect()
     assert len(got) == 80 == len({(r["kind"], r["surrogate"]) for r in got}) and not {r["form"] for r in got} & {r["surrogate"] for r in got}
+
+
+def test_pii_surrogates_never_run_out(spark, monkeypatch):
+    from loamlearn.llm.common import Workspace
+
+    monkeypatch.setitem(pii.SYLLABLES, "latin", ("ba", "den", "fer", "gol") * 4)  # 320 short forms
+    rows = [("name", f"{'mfn'[i % 3]} Name{chr(97 + i % 26)}{chr(97 + i // 26 % 26)}{i}") for i in range(3000)] + [("email", f"{chr(97 + i % 26)}@{chr(97 + i // 26)}.org") for i in range(26 * 26)]
+    got = pii.surrogates(spark.createDataFrame(rows, "kind string, form string"), b"k", Workspace(spark, "t")).collect()
+    assert sorted((r["kind"], r["form"]) for r in got) == sorted(rows)
+    assert len({(r["kind"], r["surrogate"]) for r in got}) == len(rows) and not {f for k, f in rows if k == "email"} & {r["surrogate"] for r in got}
+    assert pii.render("email", "A@B.ORG", "xy@c.org") == "XY@C.ORG" and pii.render("phone", "555-123-4567", "12345678901") == "123-456-78901"
