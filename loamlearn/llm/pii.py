@@ -9,6 +9,13 @@ different entities never merge and one entity reads the same everywhere. Later a
 forms (names of more syllables, longer local parts, at last longer phone numbers), so that there is
 always a free one; only IP addresses, whose number is bounded, can run out.
 
+A titled name is the whole run of name words behind the title: any capital and letters of any script,
+inner capitals, apostrophes, hyphens, initials, and particles between or before them. Mentions of one text with the
+same surname are one entity if neither their titles' genders nor their given names differ, so 'Mr John
+Smith', 'Dr John Smith' and 'Mr Smith' share a surrogate; a bare surname goes to the person named last.
+Later mentions without a title follow, with or without the given names. A name's surrogate is a given
+name (if there was one) and a surname, however many words were there.
+
 Only texts that a cheap native test lets through are shuffled, to meet their replacements.
 
 Defined cases: null text stays null with no entities; repeated rows are rewritten each; an empty
@@ -20,6 +27,7 @@ from __future__ import annotations
 import hashlib
 import hmac
 import re
+import unicodedata
 from itertools import count
 
 from pyspark.sql import DataFrame
@@ -37,15 +45,27 @@ GIVEN = {
 }
 SYLLABLES = {"latin": ("ba", "den", "fer", "gol", "har", "kel", "lin", "mar", "nor", "pas", "ren", "sol", "tor", "vin", "wes", "zan"), "cyrillic": ("бар", "вин", "гор", "дан", "зов", "кел", "лин", "мар", "нев", "пас", "рен", "сол", "тор", "фен", "хар", "цев")}
 
-_UPPER = r"[A-ZÀ-ÖØ-ÞА-ЯЁ]"
-_LOWER = r"[a-zß-öø-ÿа-яё]"
-_NAME = rf"(?:{_UPPER}{_LOWER}+(?:-{_UPPER}{_LOWER}+)?)"
+def _ranges(*categories: str) -> str:
+    """Characters of Unicode categories, as the inside of a character class."""
+    of = [c for c in range(0x20000) if unicodedata.category(chr(c)) in categories]
+    starts = [c for c, before in zip(of, [-9, *of], strict=False) if c != before + 1]
+    ends = [c for c, after in zip(of, [*of[1:], -9], strict=True) if c + 1 != after]
+    return "".join(f"{chr(a)}-{chr(b)}" for a, b in zip(starts, ends, strict=True))
+
+
+PARTICLES = tuple("af al auf bin da das de del della den der des di dos du el ibn la le ten ter van vom von y zu zum zur".split())
+_UPPER = f"[{_ranges('Lu', 'Lt')}]"
+_LETTER = r"(?:[^\W\d_][\u0300-\u036f]*)"
+#: Letters with inner apostrophes and hyphens, or an initial; an English genitive stays outside.
+_WORD = rf"(?:(?:[^\W\d_]{{1,2}}['’])?{_UPPER}[\u0300-\u036f]*(?:\.(?= )|{_LETTER}*(?:(?!['’]s(?!\w))['’-]{_LETTER}+)*))"
+_PARTICLES = rf"(?:(?:{'|'.join(PARTICLES)}) )*"
+_NAME = rf"{_PARTICLES}{_WORD}(?: {_PARTICLES}{_WORD})*"
 PATTERN = re.compile(
     rf"(?P<email>(?<![\w.+-])[\w.+-]+@[\w-]+(?:\.[\w-]+)+)"
     rf"|(?P<ip>(?<![\d.])(?:25[0-5]|2[0-4]\d|1?\d?\d)(?:\.(?:25[0-5]|2[0-4]\d|1?\d?\d)){{3}}(?![\d]|\.\d))"
     rf"|(?P<card>(?<![\d-])(?:\d{{13,19}}|\d{{4}}(?:[ -]\d{{4}}){{3}})(?![\d]))"
     rf"|(?P<phone>(?<![\w+])(?:\+\d{{1,3}}[ .-]?\(?\d{{2,4}}\)?(?:[ .-]?\d{{2,4}}){{2,4}}|\(\d{{3}}\) ?\d{{3}}-\d{{4}}|\d{{3}}-\d{{3}}-\d{{4}})(?!\d))"
-    rf"|(?P<name>(?<!\w)(?P<title>{'|'.join(map(re.escape, sorted(TITLES, key=len, reverse=True)))})\.? (?P<who>{_NAME}(?: {_NAME})?))"
+    rf"|(?P<name>(?<!\w)(?P<title>{'|'.join(map(re.escape, sorted(TITLES, key=len, reverse=True)))})\.? (?P<who>{_NAME}))"
 )
 #: What a text must hold to have any entity, in Java's syntax. The first characters of all cases are one
 #: class, which the matcher passes over quickly; then each case looks back at its own.
@@ -66,10 +86,54 @@ def canonical(kind: str, m: re.Match) -> str:
     if kind in ("phone", "card"):
         return re.sub(r"\D", "", text)
     if kind == "name":
-        return f"{TITLES[m['title']]} {m['who']}"
+        return f"{TITLES[m['title']]} {' '.join(_words(m['who']))}"
     return text.lower()
 
 
+def _words(who: str) -> list[str]:
+    """Given names and surname, without particles."""
+    return [w for w in who.split(" ") if w not in PARTICLES]
+
+
+def _agree(a: list[str], b: list[str]) -> bool:
+    """Whether the shorter list of given names may be some of the longer one's, by their initials too."""
+    a, b = sorted((a, b), key=len)
+    rest = iter(b)
+    return all(any(x == y or (x[0] == y[0] and "." in (x[-1], y[-1])) for y in rest) for x in a)
+
+
+def mentions(text: str) -> list[tuple[re.Match, str, str]]:
+    """Match, kind and form of each entity's mention; titled names are those of their person in this text."""
+    found = [(m, k, canonical(k, m)) for m in PATTERN.finditer(text) for k in KINDS if m[k]]
+    person: dict[int, list] = {}  # gender, given names, surname
+    same: dict[str, list] = {}
+    for i, (_, kind, form) in enumerate(found):
+        if kind == "name":
+            gender, *given, surname = form.split(" ")
+            same.setdefault(surname, []).append((i, gender, given))
+
+    def meet(gender: str, given: list[str], surname: str, near: list[list]) -> list:
+        for p in near:
+            if (gender == p[0] or "n" in (gender, p[0])) and _agree(given, p[1]):
+                p[0] = gender if p[0] == "n" else p[0]
+                p[1] = max(p[1], given, key=lambda g: (len(g), len("".join(g))))
+                return p
+        return [gender, given, surname]
+
+    for surname, named in same.items():
+        people: list[list] = []
+        for i, gender, given in named:
+            if given:
+                person[i] = meet(gender, given, surname, people[::-1])
+                people += [person[i]] if person[i] not in people else []
+        recent: list[list] = []
+        for i, gender, given in named:
+            if not given:  # the person named last before, or else the first behind
+                person[i] = meet(gender, given, surname, recent + [p for p in people if p not in recent])
+            recent = [person[i], *(p for p in recent if p is not person[i])]
+    return [(m, k, " ".join([person[i][0], *person[i][1], person[i][2]]) if i in person else f) for i, (m, k, f) in enumerate(found)]
+
+
 class Draw:
     """An endless keyed stream of small numbers."""
 
@@ -131,23 +195,38 @@ def render(kind: str, mention: str, form: str) -> str:
 
 def rewrite(text: str, forms: dict[tuple[str, str], str]) -> tuple[str, dict[str, int]]:
     counts = dict.fromkeys(KINDS, 0)
-    untitled: dict[str, str] = {}
-
-    def swap(m: re.Match) -> str:
-        kind = next(k for k in KINDS if m[k])
+    found = mentions(text)
+    latest: dict[str, tuple[str, str]] = {}  # surname: form and surrogate of the person named last, at first the first
+    given: dict[str, set[str]] = {}
+    for _, kind, form in found:
+        if kind == "name":
+            who = form[2:].split(" ")
+            latest.setdefault(who[-1], (form, forms[kind, form]))
+            given.setdefault(who[-1], set()).update(who[:-1])
+    either = lambda xs: "|".join(map(re.escape, sorted(xs, key=lambda x: (-len(x), x))))
+    one = [rf"(?P<g{i}>(?:(?:{either(given[w])}) )*){_PARTICLES}(?P<s{i}>{re.escape(w)})" if given[w] else rf"{_PARTICLES}(?P<s{i}>{re.escape(w)})" for i, w in enumerate(sorted(latest, key=lambda x: (-len(x), x)))]
+    untitled = re.compile(rf"(?<!\w)(?:{'|'.join(one)})(?!\w)") if one else None
+
+    def later(m: re.Match) -> str:
+        i = m.lastgroup[1:]
+        form, new = latest[m["s" + i]]
+        return new if m.groupdict().get("g" + i) else new.split(" ")[-1]
+
+    out, at = [], 0
+    for m, kind, form in found:
+        between = text[at : m.start()]
+        out.append(untitled.sub(later, between) if untitled else between)
         counts[kind] += 1
-        form = forms[kind, canonical(kind, m)]
-        if kind != "name":
-            return render(kind, m[kind], form)
-        untitled[m["who"]] = form
-        if " " in m["who"]:
-            untitled[m["who"].split(" ")[-1]] = form.split(" ")[-1]
-        return m[0][: m.start("who") - m.start()] + form
-
-    out = PATTERN.sub(swap, text)
-    if untitled:  # later mentions without a title, the longest first
-        out = re.sub(rf"(?<!\w)(?:{'|'.join(map(re.escape, sorted(untitled, key=len, reverse=True)))})(?!\w)", lambda m: untitled[m[0]], out)
-    return out, counts
+        new = forms[kind, form]
+        if kind == "name":
+            who = form[2:].split(" ")
+            latest[who[-1]] = form, new
+            out.append(m[0][: m.start("who") - m.start()] + (new if len(_words(m["who"])) > 1 else new.split(" ")[-1]))
+        else:
+            out.append(render(kind, m[kind], new))
+        at = m.end()
+    out.append(untitled.sub(later, text[at:]) if untitled else text[at:])
+    return "".join(out), counts
 
 
 def _entities(batches):
@@ -156,7 +235,7 @@ def _entities(batches):
     for batch in batches:
         rows = []
         for key, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-            found = {(k, canonical(k, m)) for m in PATTERN.finditer(text.as_py()) for k in KINDS if m[k]}
+            found = {(k, f) for _, k, f in mentions(text.as_py())}
             rows += [(key, k, f) for k, f in sorted(found)]
         yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate((pa.int64(), pa.string(), pa.string()))], ["row_key", "kind", "form"])
 

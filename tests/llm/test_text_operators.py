@@ -360,3 +360,23 @@ def test_pii_surrogates_never_run_out(spark, monkeypatch):
     assert sorted((r["kind"], r["form"]) for r in got) == sorted(rows)
     assert len({(r["kind"], r["surrogate"]) for r in got}) == len(rows) and not {f for k, f in rows if k == "email"} & {r["surrogate"] for r in got}
     assert pii.render("email", "A@B.ORG", "xy@c.org") == "XY@C.ORG" and pii.render("phone", "555-123-4567", "12345678901") == "123-456-78901"
+
+
+def test_pii_whole_names_and_their_mentions(spark):
+    texts = [
+        "Mr. Juan Carlos Garcia met Dr McDonald, Mr O'Brien and Mr Łukasz; Prof. Núñez-Ávila, Herr Otto von Berg. Carlos Garcia left with von Berg and McDonald's dog.",
+        "Mr John Smith came. Dr John Smith spoke, Mr Smith left, Mr J. Smith too; John Smith and Smith again. Mrs Jane Smith stayed, Smith left.",
+        "Dr Jones, then Mr Paul Jones. Nothing else: Smithson stays.",
+        "Mr J. R. Tolkien wrote to Ms D'Arcy, Herr von Berg and Mr de la Cruz.",
+    ]
+    rows = [(i, t, "en", "s") for i, t in enumerate(texts)]
+    out = {r["doc_id"]: r for r in pii.replace_personal(frame(spark, rows)).collect()}
+    said = [out[i]["text"] for i in range(4)]
+    for word in ("Juan", "Carlos", "Garcia", "Donald", "Mc", "Brien", "Łukasz", "ukasz", "Núñez", "Ávila", "Otto", "Berg", "John", "Jane", "Smith ", "Paul", "Jones", "Tolkien", "J.", "R.", "Arcy", "Cruz"):
+        assert not any(word in s for s in said), (word, said)
+    assert [out[i]["n_name"] for i in range(4)] == [6, 5, 2, 4]
+    a = re.fullmatch(r"Mr (\w+ (\w+)) came\. Dr (.+) spoke, Mr (\w+) left, Mr (.+) too; (.+) and (\w+) again\. Mrs (\w+ (\w+)) stayed, (\w+) left\.", said[1]).groups()
+    assert a[0] == a[2] == a[4] == a[5] and a[1] == a[3] == a[6] and a[7] != a[0] and a[8] == a[9]
+    b = re.fullmatch(r"Dr (\w+), then Mr \w+ (\w+)\. Nothing else: Smithson stays\.", said[2]).groups()
+    assert b[0] == b[1]
+    assert re.search(r"Herr \w+ (\w+)\. (\w+) (\w+) left with (\w+) and (\w+)'s dog", said[0])
