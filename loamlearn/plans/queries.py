@@ -358,6 +358,34 @@ def quantile_sketch(spark, d):
     return summaries(long_bin(spark, d).filter("value IS NOT NULL"), "feature", "value", "w", 500).select("feature", at("summary").alias("quantiles"))
 
 
+# Over all features: price has far more distinct values than the SQL of their namesakes above takes. Tests use brute force.
+def _transformed_all(spark, d, mode, digits):
+    ex = long_bin(spark, d).filter("value IS NOT NULL").withColumn("raw", F.col("value"))
+    got = feat.transform_features(ex, feat.feature_stats(ex), mode)
+    return got.groupBy("feature", r6(F.col("raw")).alias("value"), r6(F.col("value"), digits).alias("scaled")).agg(F.count(F.lit(1)).alias("n"))
+
+
+@query()
+def standardize_all(spark, d):
+    return _transformed_all(spark, d, "standardization", 4)
+
+
+@query()
+def scale_range_all(spark, d):
+    return _transformed_all(spark, d, "scale_range", 6)
+
+
+@query()
+def missing_value_all(spark, d):
+    ex = long_bin(spark, d)
+    return feat.filled(ex, feat.missing_values(ex, "value@-1", "w")).groupBy("feature", r6(F.col("value")).alias("value")).agg(F.count(F.lit(1)).alias("n"))
+
+
+@query()
+def bins_nosample_all(spark, d):
+    return binning.no_sample(long_bin(spark, d)).select("feature", r6(F.col("value")).alias("value"))
+
+
 # ---------------------------------------------------------------- bins
 @query(f"SELECT DISTINCT feature, round(value,6) AS value FROM ({LONG}) WHERE value IS NOT NULL AND feature <> 'price'")
 def bins_nosample(spark, d):
@@ -491,15 +519,26 @@ def gbdt_gradpairs(spark, d):
 _TREE_FEATURES = ["quantity", "discount", "tax", "open"]
 
 
-def tree_rows(spark, d) -> tuple[DataFrame, dict[str, np.ndarray], int]:
+#: Quantile bins of price in the trees over all features.
+_PRICE_BINS = 64
+
+
+def _price_values(spark, d) -> np.ndarray:
+    ex = s_bin(spark, d).select(F.lit("price").alias("feature"), F.col("price").alias("value"))
+    return np.sort([r["value"] for r in binning.by_quantile(ex, _PRICE_BINS).collect()])
+
+
+def tree_rows(spark, d, features=_TREE_FEATURES) -> tuple[DataFrame, dict[str, np.ndarray], int]:
     """Binned rows with the gradient pairs of an empty forest at p = 0.5."""
     df = s_bin(spark, d)
     values = {}
     for r in df.select(F.explode(F.array(*[F.struct(F.lit(n).alias("f"), F.col(n).alias("v")) for n in _TREE_FEATURES])).alias("x")).groupBy("x.f").agg(F.sort_array(F.collect_set("x.v")).alias("v")).collect():
         values[r["f"]] = np.array(r["v"])
-    samples = df.select(F.array("y").alias("label"), F.col("w").alias("weight"), F.create_map(*[x for n in _TREE_FEATURES for x in (F.lit(n), F.col(n))]).alias("features"))
-    forest = gbdt.Forest(_TREE_FEATURES)
-    state = gbdt.prepare(samples, _TREE_FEATURES, values).withColumn("sum", F.array(F.lit(0.0)))
+    if "price" in features:
+        values["price"] = _price_values(spark, d)
+    samples = df.select(F.array("y").alias("label"), F.col("w").alias("weight"), F.create_map(*[x for n in features for x in (F.lit(n), F.col(n))]).alias("features"))
+    forest = gbdt.Forest(features)
+    state = gbdt.prepare(samples, features, values).withColumn("sum", F.array(F.lit(0.0)))
     return gbdt.advanced(state, [], forest, gbdt.Params(), 0), values, max(map(len, values.values()))
 
 
@@ -509,9 +548,18 @@ _HIST = f"""SELECT feature, dense_rank() OVER (PARTITION BY feature ORDER BY val
 
 @query(f"SELECT feature, bin, round(g,3) AS g, round(h,3) AS h, n FROM ({_HIST})")
 def gbdt_hist(spark, d):
-    rows, values, n_bins = tree_rows(spark, d)
-    hist = gbdt.histograms(rows, gbdt.Tree([gbdt.Node()]), [0], len(_TREE_FEATURES), n_bins)[0]
-    out = [(f, b, round(float(hist[i, b, 0]), 3), round(float(hist[i, b, 1]), 3), int(hist[i, b, 2])) for i, f in enumerate(_TREE_FEATURES) for b in range(len(values[f]))]
+    return _hist(spark, d, _TREE_FEATURES)
+
+
+@query()
+def gbdt_hist_all(spark, d):
+    return _hist(spark, d, NAMES)
+
+
+def _hist(spark, d, features):
+    rows, values, n_bins = tree_rows(spark, d, features)
+    hist = gbdt.histograms(rows, gbdt.Tree([gbdt.Node()]), [0], len(features), n_bins)[0]
+    out = [(f, b, round(float(hist[i, b, 0]), 3), round(float(hist[i, b, 1]), 3), int(hist[i, b, 2])) for i, f in enumerate(features) for b in range(len(values[f]))]
     return spark.createDataFrame(out, "feature string, bin long, g double, h double, n long")
 
 
@@ -524,7 +572,20 @@ _GAIN = f"""WITH hist AS ({_HIST}), f AS (SELECT feature, CASE feature WHEN 'qua
 @query(_GAIN + " SELECT feature, bin, round(gain,4) AS gain FROM top")
 def gbdt_best_split(spark, d):
     """By relational operators: running sums over bins, the best by a struct's order."""
-    df = s_bin(spark, d).select("w", "y", F.explode(F.array(*[F.struct(F.lit(i).alias("fid"), F.lit(n).alias("feature"), F.col(n).alias("value")) for i, n in enumerate(_TREE_FEATURES)])).alias("x")).select("w", "y", "x.*")
+    return _best(s_bin(spark, d), _TREE_FEATURES)
+
+
+@query()
+def gbdt_best_split_all(spark, d):
+    """Over all features, price by the values of its bins."""
+    values = _price_values(spark, d)
+    edges, bins = F.array(*map(F.lit, binning.bin_edges(values).tolist())), F.array(*map(F.lit, values.tolist()))
+    at = F.size(F.filter(edges, lambda e: e <= F.col("price"))) + 1
+    return _best(s_bin(spark, d).withColumn("price", F.element_at(bins, at)), NAMES)
+
+
+def _best(df, features):
+    df = df.select("w", "y", F.explode(F.array(*[F.struct(F.lit(i).alias("fid"), F.lit(n).alias("feature"), F.col(n).alias("value")) for i, n in enumerate(features)])).alias("x")).select("w", "y", "x.*")
     hist = df.groupBy("fid", "feature", "value").agg(F.sum(F.col("w") * (0.5 - F.col("y"))).alias("g"), F.sum(F.col("w") * 0.25).alias("h"))
     by = Window.partitionBy("fid").orderBy("value")
     run, all_ = by.rowsBetween(Window.unboundedPreceding, Window.currentRow), Window.partitionBy("fid")
@@ -538,11 +599,20 @@ def gbdt_best_split(spark, d):
 @query(_GAIN + """ SELECT 0 AS node, feature, round((value+nextv)/2,6) AS threshold, NULL::DOUBLE AS leaf, round(ht,3) AS hess_sum, nt::BIGINT AS sample_cnt FROM top UNION ALL
  SELECT 1, NULL, NULL, round(-gl/(hl+1)*0.1,6), round(hl,3), nl::BIGINT FROM top UNION ALL SELECT 2, NULL, NULL, round(-(gt-gl)/(ht-hl+1)*0.1,6), round(ht-hl,3), (nt-nl)::BIGINT FROM top""")
 def gbdt_stump(spark, d):
-    rows, values, n_bins = tree_rows(spark, d)
+    return _stump(spark, d, _TREE_FEATURES)
+
+
+@query()
+def gbdt_stump_all(spark, d):
+    return _stump(spark, d, NAMES)
+
+
+def _stump(spark, d, features):
+    rows, values, n_bins = tree_rows(spark, d, features)
     p = gbdt.Params(max_depth=1, l2=1.0, learning_rate=0.1)
-    tree = gbdt.grow(rows, len(_TREE_FEATURES), n_bins, p)
-    gbdt.finish(tree, [values[f] for f in _TREE_FEATURES], np.zeros(4), "mean")
-    forest = gbdt.Forest(_TREE_FEATURES, [tree])
+    tree = gbdt.grow(rows, len(features), n_bins, p)
+    gbdt.finish(tree, [values[f] for f in features], np.zeros(len(features)), "mean")
+    forest = gbdt.Forest(features, [tree])
     out = [(n, f, round(t, 6) if f else None, None if v is None else round(v, 6), round(h, 3), c) for _, n, f, t, _, _, _, v, _, h, c in forest.node_rows()]
     return spark.createDataFrame(out, "node int, feature string, threshold double, leaf double, hess_sum double, sample_cnt long")
 
@@ -668,9 +738,9 @@ def lbfgs_linear(spark, d):
 @query()
 def gbdt_train(spark, d):
     df = s_bin(spark, d)
-    samples = df.select(F.array("y").alias("label"), F.col("w").alias("weight"), F.create_map(*[x for n in _TREE_FEATURES for x in (F.lit(n), F.col(n))]).alias("features"))
-    values = {"quantity": np.arange(1.0, 51), "discount": np.arange(11) / 100, "tax": np.arange(9) / 100, "open": np.array([0.0, 1.0])}
-    forest = gbdt.train(samples, _TREE_FEATURES, values, "sigmoid", gbdt.Params(rounds=3, max_depth=3))
+    samples = df.select(F.array("y").alias("label"), F.col("w").alias("weight"), F.create_map(*[x for n in NAMES for x in (F.lit(n), F.col(n))]).alias("features"))
+    values = {"quantity": np.arange(1.0, 51), "discount": np.arange(11) / 100, "tax": np.arange(9) / 100, "open": np.array([0.0, 1.0]), "price": _price_values(spark, d)}
+    forest = gbdt.train(samples, NAMES, values, "sigmoid", gbdt.Params(rounds=3, max_depth=3))
     return spark.createDataFrame(forest.node_rows(), gbdt.NODE_SCHEMA)
 
 
