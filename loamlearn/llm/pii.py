@@ -69,7 +69,7 @@ PATTERN = re.compile(
 )
 #: What a text must hold to have any entity, in Java's syntax. The first characters of all cases are one
 #: class, which the matcher passes over quickly; then each case looks back at its own.
-MAYBE = r"[@+0-9MHFSDPг](?:(?<=@)|(?<=\+)[0-9]|(?<=[0-9])(?:[0-9][0-9]|\.[0-9]+\.)|" + "|".join(f"(?<={t[0]}){t[1:]}\\.? " for t in TITLES) + ")"
+MAYBE = r"[@+\p{Nd}MHFSDPг](?:(?<=@)|(?<=\+)\p{Nd}|(?<=\p{Nd})(?:\p{Nd}\p{Nd}|\.\p{Nd}+\.)|" + "|".join(f"(?<={t[0]}){t[1:]}\\.? " for t in TITLES) + ")"
 
 
 def luhn(digits: str) -> bool:

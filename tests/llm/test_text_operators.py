@@ -380,3 +380,13 @@ def test_pii_whole_names_and_their_mentions(spark):
     b = re.fullmatch(r"Dr (\w+), then Mr \w+ (\w+)\. Nothing else: Smithson stays\.", said[2]).groups()
     assert b[0] == b[1]
     assert re.search(r"Herr \w+ (\w+)\. (\w+) (\w+) left with (\w+) and (\w+)'s dog", said[0])
+
+
+def test_pii_prefilter_lets_every_match_through(spark):
+    texts = ["١٢٣-٤٥٦-٧٨٩٠", "+٩٦ ٥٥٥ ٤٤٤ ٣٣٣", "card ４１１１ １１１１ １１１１ １１１１", "१०.२०.३०.४०", "+1 836 555 9331", "1.2.3.4", "(836) 555-9331", "a@b.org", "4111111111111111", *(f"{t}{dot} Łukasz" for t in pii.TITLES for dot in ("", "."))]
+    assert all(pii.PATTERN.search(t) for t in texts[4:]) and sum(bool(pii.PATTERN.search(t)) for t in texts[:4]) >= 3
+    rows = spark.createDataFrame([(t,) for t in texts], "text string")
+    through = {r["text"] for r in rows.filter(F.col("text").rlike(pii.MAYBE)).collect()}
+    assert not [t for t in texts if pii.PATTERN.search(t) and t not in through]
+    out = {r["doc_id"]: r["text"] for r in pii.replace_personal(frame(spark, [(i, t, "en", "s") for i, t in enumerate(texts)])).collect()}
+    assert all(out[i] != t for i, t in enumerate(texts) if pii.PATTERN.search(t))
