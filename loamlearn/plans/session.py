@@ -9,15 +9,47 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_folder(spark: SparkSession) -> str:
+    """spark.checkpoint.dir; a folder of our own only on a local master, where it is unset. Anywhere else that is an error,
+    since executors would write to disks that the others can't read."""
     folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not folder:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         folder = "file://" + tempfile.mkdtemp(prefix="loamlearn-")
         spark.sparkContext.setCheckpointDir(folder)
     return folder.rstrip("/")
 
 
+def delete(spark: SparkSession, path: str) -> None:
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+
+
+def _saved_path(spark: SparkSession, name: str) -> str:
+    return f"{shared_folder(spark)}/loamlearn-{name}-{uuid.uuid4().hex}"
+
+
 def saved(df: DataFrame, name: str) -> DataFrame:
     """The table written and read again: no lineage, and no partition is computed twice."""
-    path = f"{shared_folder(df.sparkSession)}/loamlearn-{name}-{uuid.uuid4().hex}"
+    path = _saved_path(df.sparkSession, name)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+class Rolling:
+    """The newest of a series of saved tables: each replaces the one that it was made from, which is deleted."""
+
+    def __init__(self, spark: SparkSession, name: str):
+        self.spark, self.name, self.path = spark, name, None
+
+    def save(self, df: DataFrame) -> DataFrame:
+        path = _saved_path(self.spark, self.name)
+        df.write.parquet(path)
+        self.close()
+        self.path = path
+        return self.spark.read.schema(df.schema).parquet(path)
+
+    def close(self) -> None:
+        if self.path:
+            delete(self.spark, self.path)
+            self.path = None
