@@ -4,33 +4,17 @@ from __future__ import annotations
 
 import atexit
 import gc
-import tempfile
 import uuid
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 
+from ..plans.session import delete, shared_folder
+
 #: A word: a run of characters that are neither a space nor one of tab to carriage return.
 WORD = r"[^\x20\x09-\x0D]+"
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir; a folder of our own only where that is unset."""
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if not folder:
-        folder = spark.sparkContext.getCheckpointDir()
-    if not folder:
-        folder = "file://" + tempfile.mkdtemp(prefix="loamlearn-")
-        spark.sparkContext.setCheckpointDir(folder)
-    return folder.rstrip("/")
-
-
-def _delete(spark: SparkSession, path: str) -> None:
-    jvm = spark._jvm
-    where = jvm.org.apache.hadoop.fs.Path(path)
-    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
-
-
 class Workspace:
     """Intermediate tables as Parquet under the shared folder.
 
@@ -56,16 +40,24 @@ class Workspace:
         self.spark._jvm.System.gc()
 
     def drop(self, name: str) -> None:
-        _delete(self.spark, f"{self.root}/{name}")
+        delete(self.spark, f"{self.root}/{name}")
 
     def _close(self) -> None:
         try:
             if self.spark.sparkContext._jsc is not None and not self.spark.sparkContext._jsc.sc().isStopped():
-                _delete(self.spark, self.root)
+                delete(self.spark, self.root)
         except Exception:  # the JVM may be gone; the files then stay for the cluster's own cleaner
             pass
 
 
+def free_name(df: DataFrame, stem: str) -> str:
+    """A column name that ``df`` does not have."""
+    name, taken = f"__{stem}", {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def give_back() -> None:
     """Returns freed memory to the system: workers live on between groups and stages, beside the executor's heap."""
     import ctypes

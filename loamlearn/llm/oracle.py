@@ -21,17 +21,22 @@ _ROWS = r"""SELECT conv_id, turn, coalesce(role,'') AS role, coalesce(text,'') A
  UNION ALL SELECT -7, 0, 'user', '\### Assistant: </turn> ok', 'user', '\### Assistant: </turn> ok' UNION ALL SELECT -7, 1, 'assistant', '\### Assistant: </turn> ok', 'assistant', '\### Assistant: </turn> ok'"""
 _CHAT = f"""SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, r NULLS FIRST, t NULLS FIRST)) AS turns_sha256,
  sum(CASE WHEN role='assistant' THEN length(text) ELSE 0 END)::BIGINT AS loss_chars, sha256(coalesce(string_agg(CASE WHEN role='assistant' THEN text ELSE '' END, '' ORDER BY turn, r NULLS FIRST, t NULLS FIRST),'')) AS loss_sha256,
- sum(4+length(role)+2+length(text)+8+{_escapes('text')}+{_escapes('role')}+length(role)-length(replace(role,':','')))::BIGINT AS formatted_chars FROM ({_ROWS}) GROUP BY conv_id"""
+ sum(4+length(role)+2+length(text)+8+{_escapes('text')}+{_escapes('role')}+length(role)-length(replace(role,':',''))+length(role)-length(replace(role,chr(10),'')))::BIGINT AS formatted_chars, 0::BIGINT AS n_attachments, 0::BIGINT AS expanded_tokens FROM ({_ROWS}) GROUP BY conv_id"""
 
 _WORD = r"[^\x20\x09-\x0D]+"
 _MIX = f"""WITH d AS (SELECT doc_id, source, coalesce(len(regexp_extract_all(text, '{_WORD}')),0)::BIGINT AS size FROM documents),
  s AS (SELECT source, sum(size)::BIGINT AS source_size, row_number() OVER (ORDER BY source IS NULL, source) AS i FROM d GROUP BY source),
  w AS (SELECT *, CASE (i-1)%3 WHEN 0 THEN 5.0::DOUBLE WHEN 1 THEN 2.0::DOUBLE ELSE 1.0::DOUBLE END AS w, 3.0::DOUBLE*source_size AS cap FROM s),
  l AS (SELECT *, (sum(source_size) OVER ()-coalesce(sum(cap) OVER (ORDER BY cap/w, i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING),0))::DOUBLE/sum(w) OVER (ORDER BY cap/w, i ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS level FROM w),
- t AS (SELECT source, source_size, least(cap, w*max(level) OVER ()) AS target FROM l),
+ t AS (SELECT source, source_size, i, least(cap, w*max(level) OVER ()) AS target FROM l),
  g AS (SELECT *, floor(target+0.5)::BIGINT AS goal FROM t),
- a AS (SELECT doc_id, size, source_size, target, goal, coalesce(sum(size) OVER (PARTITION BY g.source ORDER BY md5('mix:' || doc_id || ':' || size), doc_id, size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING),0)::BIGINT AS pos FROM d JOIN g ON d.source IS NOT DISTINCT FROM g.source)
- SELECT doc_id, size, source_size, target, (CASE WHEN size=0 THEN 0 ELSE goal//source_size*size + greatest(0, least(size, goal%source_size-pos)) END)::BIGINT AS taken FROM a"""
+ a AS (SELECT row_number() OVER () AS rid, doc_id, size, source_size, target, goal, i, coalesce(sum(size) OVER (PARTITION BY g.source ORDER BY md5('mix:' || doc_id || ':' || size), doc_id, size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING),0)::BIGINT AS pos FROM d JOIN g ON d.source IS NOT DISTINCT FROM g.source),
+ b AS (SELECT i, sum(need) OVER (ORDER BY i) - need AS lo, sum(need) OVER (ORDER BY i) AS hi FROM (SELECT i, ceil(goal/1024.0::DOUBLE)::BIGINT AS need FROM g)),
+ q AS (SELECT slot, row_number() OVER (ORDER BY slot%2147483648*1327217885%2147483648, slot) - 1 AS place FROM (SELECT unnest(range((SELECT max(hi) FROM b)::BIGINT)) AS slot)),
+ z AS (SELECT i, slot, row_number() OVER (PARTITION BY i ORDER BY slot) - 1 AS r FROM q JOIN b ON place >= lo AND place < hi),
+ e AS (SELECT rid, i, pos + turn*source_size AS lo, least(pos + turn*source_size + size, goal) AS hi FROM (SELECT *, unnest(range(0, (goal - pos - 1)//source_size + 1)) AS turn FROM a WHERE size > 0 AND pos < goal)),
+ n AS (SELECT rid, sum((hi-1)//1024 - lo//1024 + 1)::BIGINT AS n_slots, min(z.slot) AS first_slot FROM e JOIN z ON z.i=e.i AND z.r=lo//1024 GROUP BY rid)
+ SELECT doc_id, size, source_size, target, (CASE WHEN size=0 THEN 0 ELSE goal//source_size*size + greatest(0, least(size, goal%source_size-pos)) END)::BIGINT AS taken, first_slot, coalesce(n_slots,0)::BIGINT AS n_slots FROM a LEFT JOIN n ON n.rid=a.rid"""
 
 _JOIN = f"""WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(translate(text,'ABCDEFGHIJKLMNOPQRSTUVWXYZ','abcdefghijklmnopqrstuvwxyz'), '{_WORD}') AS ws FROM documents),
  s AS (SELECT doc_id, unnest(list_distinct(CASE WHEN len(ws)>=4 THEN list_transform(range(1, len(ws)-2), lambda i: array_to_string(ws[i:i+3],' ')) ELSE [array_to_string(ws,' ')] END)) AS sh FROM w WHERE len(ws)>0),

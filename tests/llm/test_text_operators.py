@@ -60,14 +60,44 @@ def test_mixing(spark):
     assert mixing.mix_sources(frame(spark, [(1, None, None, "a")])).first()["taken"] == 0
 
 
-def test_schedule_is_low_discrepancy(spark):
-    plan = spark.createDataFrame([(1, 500, 500), (2, 300, 800), (3, 200, 1000)], "src int, need long, upto long")
-    got = mixing.schedule(plan, 1000)
-    counts = {r["src"]: (r["n"], r["hi"]) for r in got.groupBy("src").agg(F.countDistinct("rank").alias("n"), F.max("rank").alias("hi")).collect()}
-    assert counts == {1: (500, 499), 2: (300, 299), 3: (200, 199)} and got.count() == 1000
-
-
-@pytest.mark.parametrize("text", ["", "plain", r"\### Assistant: </turn> ok", "a#", "##", "<", "<|image:0|>", "\\", "</turn>\n", "####\\#<\\/", "x\n### user: y</turn>\n", "a:b: c", "end<\n", "\U0001f600#"])
+def _schedule(spark, need):
+    upto = np.cumsum(need).tolist()
+    plan = spark.createDataFrame([(i + 1, n, u) for i, (n, u) in enumerate(zip(need, upto, strict=True))], "src int, need long, upto long")
+    return [(r["slot"], r["src"], r["rank"]) for r in mixing.schedule(plan, upto[-1]).orderBy("slot").collect()]
+
+
+@pytest.mark.parametrize("need", [(500, 300, 200), (1, 976), (3, 1000, 1, 70000)])
+def test_schedule_is_low_discrepancy(spark, need):
+    got = _schedule(spark, need)
+    n = sum(need)
+    assert [s for s, _, _ in got] == list(range(n))
+    src, rank = np.array([x[1] for x in got]), np.array([x[2] for x in got])
+    for i, k in enumerate(need):
+        mine = src == i + 1
+        assert rank[mine].tolist() == list(range(k))
+        # every prefix of the mix holds the source's share of it, but for a few slots
+        assert np.abs(np.cumsum(mine) - np.arange(1, n + 1) * k / n).max() <= 2 + np.log2(n)
+
+
+def test_mix_follows_the_schedule(spark, monkeypatch):
+    rows = [(i, " ".join(["w"] * (1 + i % 90)), "en", "abc"[i % 3]) for i in range(300)]
+    docs = frame(spark, rows)
+    got = {r["doc_id"]: r for r in mixing.mix_sources(docs, block_words=64).collect()}
+    n = sum(-(-int(t + 0.5) // 64) for t in {r["source"]: r["target"] for r in got.values()}.values())
+    assert {r["first_slot"] is None for r in got.values() if r["taken"]} == {False} and max(r["first_slot"] or 0 for r in got.values()) < n
+    assert all(r["n_slots"] <= 3 * (r["size"] // 64 + 2) for r in got.values())
+    order = [r["doc_id"] for r in mixing.mixed(docs, block_words=64).collect()]
+    slots = [got[i]["first_slot"] for i in dict.fromkeys(order)]
+    assert slots == sorted(slots)
+    # a tiny source adds a slot, and doesn't shorten the blocks
+    more = {r["doc_id"]: r for r in mixing.mix_sources(frame(spark, [*rows, (999, "x y z", "en", "d")]), block_words=64).collect()}
+    assert abs(max(r["first_slot"] or 0 for r in more.values()) - max(r["first_slot"] or 0 for r in got.values())) <= 4
+    real = mixing.schedule
+    monkeypatch.setattr(mixing, "schedule", lambda plan, n: real(plan, n).withColumn("slot", n - 1 - F.col("slot")))
+    assert {r["doc_id"]: r["first_slot"] for r in mixing.mix_sources(docs, block_words=64).collect()} != {i: r["first_slot"] for i, r in got.items()}
+
+
+@pytest.mark.parametrize("text", ["", "plain", r"\### Assistant: </turn> ok", "a#", "##", "<", "<|image:0|>", "\\", "</turn>\n", "####\\#<\\/", "x\n### user: y</turn>\n", "a:b: c", "end<\n", "\U0001f600#", ":n", "a:nb", ":\n", "a:\\n", "<\n#\n\\\n"])
 def test_chat_round_trip(spark, text):
     df = spark.createDataFrame([(1, 0, text, text), (1, 1, "assistant", text), (1, 2, None, None), (1, 2, None, None), (2, 0, "user", text)], "conv_id long, turn long, role string, text string")
     got = {r["conv_id"]: r for r in chat.read_back(chat.format_chat(df)).collect()}

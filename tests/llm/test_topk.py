@@ -42,3 +42,37 @@ def test_boxes_are_tight_and_halves_even():
         np.testing.assert_array_equal(hi, t.vecs[a:b].max(axis=0))
         if x >= 0:
             assert abs((t.spans[x][1] - t.spans[x][0]) - (t.spans[y][1] - t.spans[y][0])) <= 1
+
+
+def _frame(spark, vecs):
+    return spark.createDataFrame([(i, list(map(float, v))) for i, v in vecs], "vec_id long, embedding array<double>")
+
+
+@pytest.mark.parametrize("shard_rows", [1000, 21, 7])
+def test_large_scores_across_shards(spark, shard_rows):
+    """Scores beyond 2**53, a unit apart: the k-th score must travel as an integer."""
+    rows = [(i, (2.0**24, i / 64)) for i in range(1, 41)] + [(100, (2.0**24, 1 / 64))]
+    df = _frame(spark, rows)
+    got = sorted(tuple(r) for r in topk.top_k(df, df.filter("vec_id = 100"), 20, shard_rows=shard_rows, leaf_rows=4).collect())
+    assert [r[2] for r in got] == list(range(40, 20, -1)) and got[0][3] - got[1][3] == 1
+
+
+def test_clusters_are_pruned(spark):
+    rng = np.random.default_rng(5)
+    centres = rng.normal(size=(30, 16)) * 4
+    rows = [(i, centres[i % 30] + rng.normal(size=16) * 0.3) for i in range(3000)]
+    df = _frame(spark, rows)
+    asked = df.filter("vec_id % 20 = 0")
+    assert topk.scored_share(df, asked, 10, shard_rows=200, leaf_rows=16) < 0.5
+    got = sorted(tuple(r) for r in topk.top_k(df, asked, 10, shard_rows=200, leaf_rows=16).collect())
+    assert got == _brute([(i, v.tolist()) for i, v in rows], 10)
+
+
+def test_cells_hold_every_row_once():
+    rng = np.random.default_rng(2)
+    v = np.concatenate([rng.normal(size=(500, 3)), np.ones((200, 3))])
+    nodes = topk.split_cells(v, 13)
+    cells = topk.cell_of(v, nodes)
+    assert sorted(n[2] for n in nodes if n[0] < 0) == list(range(cells.max() + 1)) and len(set(cells[500:])) == 1
+    assert set(topk.cell_of(np.ones((5, 3)), topk.split_cells(np.ones((9, 3)), 4))) == {0}
+    assert topk.cell_of(np.zeros((2, 0)), topk.split_cells(np.zeros((0, 0)), 3)).tolist() == [0, 0]
