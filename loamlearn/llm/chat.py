@@ -39,12 +39,13 @@ def unescape(c: Column) -> Column:
 
 
 def _role(c: Column) -> Column:
-    """A role may hold a colon; it is escaped too, so that the first ': ' ends the role."""
-    return F.regexp_replace(F.regexp_replace(c, F.lit(_ESCAPE.replace("$", r"\z") + "|:"), F.lit("$0\\\\")), F.lit("\\n"), F.lit(":\\\\n"))
+    """A role may hold a colon; it is escaped too, so that the first ': ' ends the role. Every colon then has a backslash
+    behind it, and ':n' is free to stand for a line feed."""
+    return F.regexp_replace(F.regexp_replace(c, F.lit(_ESCAPE.replace("$", r"\z") + "|:"), F.lit("$0\\\\")), F.lit("\\n"), F.lit(":n"))
 
 
 def _unrole(c: Column) -> Column:
-    return F.regexp_replace(F.regexp_replace(c, F.lit(r":\\n"), F.lit("\n")), F.lit(r"([\\<#:])\\"), F.lit("$1"))
+    return F.regexp_replace(F.regexp_replace(c, F.lit(":n"), F.lit("\n")), F.lit(r"([\\<#:])\\"), F.lit("$1"))
 
 
 def expanded(part: Column) -> Column:
