@@ -171,11 +171,12 @@ class Model:
         return best, score, (score < AMBIGUOUS_SHARE) | (gap < AMBIGUOUS_GAP)
 
 
-def fit(labelled: DataFrame, text_col: str = "text", lang_col: str = "lang", sample_docs: int = 4000, alpha: float = 0.5) -> Model:
-    """Learns from the rows' texts and non-null languages alone."""
-    rows = labelled.select(F.col(text_col).cast("string").alias("text"), F.col(lang_col).cast("string").alias("lang"), F.xxhash64(*labelled.columns).alias("h")).filter("text IS NOT NULL AND lang IS NOT NULL")
+def fit(labelled: DataFrame, text_col: str = "text", lang_col: str = "lang", sample_docs: int = 4000, max_languages: int = 512, alpha: float = 0.5) -> Model:
+    """Learns from the rows' texts and non-null languages alone: a sample of about ``sample_docs`` texts of each of the
+    ``max_languages`` languages with the most rows (ties by name), which bounds what comes to the driver."""
+    rows = labelled.select(F.col(text_col).cast("string").alias("text"), F.col(lang_col).cast("string").alias("lang"), F.xxhash64(F.col(text_col).cast("string"), F.col(lang_col).cast("string")).alias("h")).filter("text IS NOT NULL AND lang IS NOT NULL")
     # one count a language, on the driver as the model is; the sample is cut before anything is shuffled
-    sizes = {r["lang"]: r["n"] for r in labelled.filter(F.col(lang_col).isNotNull()).groupBy(F.col(lang_col).cast("string").alias("lang")).agg(F.count(F.lit(1)).alias("n")).collect()}
+    sizes = {r["lang"]: r["n"] for r in labelled.filter(F.col(lang_col).isNotNull()).groupBy(F.col(lang_col).cast("string").alias("lang")).agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "lang").limit(max_languages).collect()}
     if not sizes:
         return Model([], codebook(0), np.zeros((0, DIM), np.float32))
     n = F.element_at(F.create_map(*[F.lit(x) for kv in sorted(sizes.items()) for x in kv]), F.col("lang"))
