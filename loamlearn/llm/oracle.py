@@ -58,13 +58,14 @@ def _kind(order: int, kind: str, pattern: str, group: int, least: int) -> str:
 
 
 def _secrets_sql() -> str:
-    from .secrets import BASE, KINDS
+    from .secrets import BASE, KINDS, PLACEHOLDER
 
     n = len(BASE)
+    live = f"len(list_distinct(string_split(v,''))) >= least(12, 6 + length(v)//16) AND NOT regexp_matches(v, '{PLACEHOLDER}')"
     joined = "string_agg(kind || ':' || s || ':' || e, ',' ORDER BY s, o)"
     return f"""WITH h AS (SELECT row_number() OVER () AS rid, doc_id, coalesce(source, chr(1)) AS src, coalesce(text, '') AS t FROM documents),
  f AS ({' UNION ALL '.join(_kind(i, *k) for i, k in enumerate(KINDS))}), w AS (SELECT v, count(DISTINCT src) AS owners FROM f GROUP BY v),
- a AS (SELECT rid, count(*) FILTER (o=0) AS n_assign, count(*) FILTER (o=1) AS n_access, count(*) FILTER (o=2) AS n_hex, {joined} FILTER (o<{n}) AS base, {joined} AS spans, count(*) FILTER (owners=1) AS n_live, count(*) FILTER (owners>1) AS n_copied FROM f JOIN w USING (v) GROUP BY rid)
+ a AS (SELECT rid, count(*) FILTER (o=0) AS n_assign, count(*) FILTER (o=1) AS n_access, count(*) FILTER (o=2) AS n_hex, {joined} FILTER (o<{n}) AS base, {joined} AS spans, count(*) FILTER (owners=1 AND {live}) AS n_live, count(*) FILTER (NOT (owners=1 AND {live})) AS n_copied FROM f JOIN w USING (v) GROUP BY rid)
  SELECT doc_id, coalesce(n_assign,0) AS n_assign, coalesce(n_access,0) AS n_access, coalesce(n_hex,0) AS n_hex, sha256(coalesce(base,'')) AS base_sha256, coalesce(spans,'') AS spans, coalesce(n_live,0) AS n_live, coalesce(n_copied,0) AS n_copied FROM h LEFT JOIN a ON a.rid=h.rid"""
 
 
