@@ -1,9 +1,10 @@
 """Audio features of 8-bit media: polyphase resampling, log-mel filterbanks, energy segments.
 
 A payload is stored as a WAV container of unsigned 8-bit samples, mono, without loss; features are
-computed from the samples that are read back. Everything is done record by record, so equal payloads
-give equal bytes and equal features wherever they are. Long payloads are processed in slices of
-``SLICE`` frames: memory follows the slice, not the record.
+computed from the samples that are read back, and stored as an Arrow record: a tensor of fixed shape and
+the time spans of its segments. Everything is done record by record, so equal payloads give equal
+bytes and equal features wherever they are. Samples are resampled and transformed in slices of
+``SLICE`` frames: beside the record's bytes, memory holds a slice and a number a frame.
 
 Defined cases: null text is an empty payload and becomes one block of padding; a container without
 samples has no frames, no segments and a tensor of zeros; other columns are ignored.
@@ -26,7 +27,7 @@ from .common import give_back
 BLOCK, PAD = 576, 255
 RATE = 8000
 #: Resampling to UP / DOWN of the rate, with TAPS coefficients in each of the UP phases.
-UP, DOWN, TAPS = 1, 2, 16
+UP, DOWN, TAPS = 3, 4, 16
 FRAME, HOP, N_FFT, N_MEL = 256, 128, 256, 20
 #: The fixed shape of a record's tensor: cells of time by mel bands.
 CELLS = 8
@@ -58,27 +59,36 @@ def from_wav(media: bytes) -> tuple[bytes, int]:
 
 
 @cache
-def _phases() -> np.ndarray:
-    """A windowed sinc for the lower of both rates, as UP phases of TAPS coefficients."""
-    n = UP * TAPS
-    t = (np.arange(n) - (n - 1) / 2) / max(UP, DOWN)
+def phases(up: int = UP, down: int = DOWN) -> np.ndarray:
+    """A windowed sinc for the lower of both rates, as ``up`` phases of TAPS coefficients."""
+    n = up * TAPS
+    t = (np.arange(n) - (n - 1) / 2) / max(up, down)
     taps = np.sinc(t) * np.hamming(n)
-    return (taps / taps.sum() * UP).reshape(TAPS, UP).T.astype(np.float32).copy()
-
-
-def resample(x: np.ndarray) -> np.ndarray:
-    """Output k is phase (k * DOWN) mod UP applied to the TAPS samples that end at k * DOWN // UP."""
-    phases = _phases()
-    n_out = len(x) * UP // DOWN
-    padded = np.concatenate([np.zeros(TAPS - 1, np.float32), x])
-    out = np.empty(n_out, np.float32)
-    for p in range(UP):  # outputs k = p, p + UP, ... share a phase and step DOWN samples
-        first, coef = p * DOWN // UP, phases[p * DOWN % UP]
-        got = out[p::UP]
+    return (taps / taps.sum() * up).reshape(TAPS, up).T.astype(np.float32).copy()
+
+
+def resample(samples: np.ndarray, up: int = UP, down: int = DOWN, start: int = 0, end: int | None = None) -> np.ndarray:
+    """Outputs ``start`` to ``end`` of the 8-bit samples, from -1 to 1, at up / down of their rate.
+
+    Output k is phase (k * down) mod up applied to the TAPS samples that end at k * down // up; samples
+    before the first are 0.
+    """
+    n_out = len(samples) * up // down
+    end = n_out if end is None else min(end, n_out)
+    out = np.zeros(max(0, end - start), np.float32)
+    if not len(out):
+        return out
+    first, last = start * down // up - (TAPS - 1), (end - 1) * down // up
+    x = (samples[max(0, first) : last + 1].astype(np.float32) - 128) / 128
+    x = np.concatenate([np.zeros(max(0, -first), np.float32), x])
+    taps = phases(up, down)
+    for p in range(min(up, len(out))):  # outputs p, p + up, ... share a phase and step ``down`` samples
+        k = start + p
+        coef, at = taps[k * down % up], k * down // up - first
+        got = out[p::up]
         m = len(got)
-        got[:] = 0
         for j in range(TAPS):
-            got += coef[j] * padded[first + TAPS - 1 - j : first + TAPS - 1 - j + m * DOWN : DOWN][:m]
+            got += coef[j] * x[at - j : at - j + (m - 1) * down + 1 : down]
     return out
 
 
@@ -93,22 +103,24 @@ def _mel() -> np.ndarray:
     return np.maximum(0, np.minimum(up, down)).astype(np.float32)
 
 
-def log_mel(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Log-mel rows and energies of overlapping frames; the last frame is filled up with zeros."""
-    if not len(x):
-        return np.zeros((0, N_MEL), np.float32), np.zeros(0, np.float32)
-    n = 1 + max(0, -(-(len(x) - FRAME) // HOP))
-    x = np.concatenate([x, np.zeros((n - 1) * HOP + FRAME - len(x), np.float32)])
-    frames = np.lib.stride_tricks.sliding_window_view(x, FRAME)[::HOP]
+def frames_of(n: int) -> int:
+    """Overlapping frames over n resampled samples; the last one is filled up with zeros."""
+    return 1 + max(0, -(-(n - FRAME) // HOP)) if n else 0
+
+
+def log_mel(samples: np.ndarray):
+    """(first frame, log-mel rows, energies) of each slice of overlapping frames."""
+    total = len(samples) * UP // DOWN
+    n = frames_of(total)
     window = np.hanning(FRAME).astype(np.float32)
-    rows, energy = np.empty((n, N_MEL), np.float32), np.empty(n, np.float32)
     for at in range(0, n, SLICE):
-        part = frames[at : at + SLICE] * window
-        energy[at : at + SLICE] = (part * part).mean(axis=1)
+        many = min(SLICE, n - at)
+        x = resample(samples, start=at * HOP, end=(at + many - 1) * HOP + FRAME)
+        x = np.concatenate([x, np.zeros((many - 1) * HOP + FRAME - len(x), np.float32)])
+        part = np.lib.stride_tricks.sliding_window_view(x, FRAME)[::HOP] * window
         spectrum = np.fft.rfft(part, N_FFT)
         power = (spectrum.real**2 + spectrum.imag**2).astype(np.float32)
-        rows[at : at + SLICE] = np.log10(np.maximum(power @ _mel(), 1e-6))
-    return rows, energy
+        yield at, np.log10(np.maximum(power @ _mel(), 1e-6)), (part * part).mean(axis=1)
 
 
 def segments(energy: np.ndarray) -> list[tuple[int, int]]:
@@ -124,24 +136,55 @@ def segments(energy: np.ndarray) -> list[tuple[int, int]]:
     return [(int(a), int(b)) for a, b in zip(edge[::2], edge[1::2], strict=True) if b - a >= LEAST_FRAMES]
 
 
-def tensor(rows: np.ndarray) -> np.ndarray:
-    """CELLS x N_MEL means over equal shares of the time; a share without frames repeats the frame at its start."""
-    n = len(rows)
-    if not n:
-        return np.zeros((CELLS, N_MEL), np.float32)
+def features(media: bytes) -> dict:
+    """tensor, spans (seconds of each segment), n_frames, read from the stored form.
+
+    The tensor holds CELLS x N_MEL means over equal shares of the time; a share without frames repeats
+    the frame at its start.
+    """
+    raw, rate = from_wav(media)
+    samples = np.frombuffer(raw, np.uint8)
+    n = frames_of(len(samples) * UP // DOWN)
     cuts = np.arange(CELLS + 1) * n // CELLS
-    sums = np.concatenate([np.zeros((1, N_MEL)), np.cumsum(rows, axis=0, dtype=np.float64)])
     lo, hi = cuts[:-1], np.maximum(cuts[1:], cuts[:-1] + 1)
-    return ((sums[hi] - sums[lo]) / (hi - lo)[:, None]).astype(np.float32)
+    sums, energy = np.zeros((CELLS, N_MEL)), np.zeros(n, np.float32)
+    for at, rows, power in log_mel(samples):
+        energy[at : at + len(rows)] = power
+        below = np.concatenate([np.zeros((1, N_MEL)), np.cumsum(rows, axis=0, dtype=np.float64)])
+        sums += below[np.clip(hi - at, 0, len(rows))] - below[np.clip(lo - at, 0, len(rows))]
+    step = HOP * DOWN / UP / max(rate, 1)
+    tensor = (sums / (hi - lo)[:, None]).astype(np.float32)
+    return {"tensor": tensor, "spans": [(round(a * step, 6), round((b - 1) * step + FRAME * DOWN / UP / max(rate, 1), 6)) for a, b in segments(energy)], "n_frames": n}
 
 
-def features(media: bytes) -> dict:
-    """tensor, spans (seconds of each segment), n_frames, read from the stored form."""
-    samples, rate = from_wav(media)
-    x = (np.frombuffer(samples, np.uint8).astype(np.float32) - 128) / 128
-    rows, energy = log_mel(resample(x))
-    step = HOP * DOWN / UP / max(rate, 1)
-    return {"tensor": tensor(rows), "spans": [(round(a * step, 6), round((b - 1) * step + FRAME * DOWN / UP / max(rate, 1), 6)) for a, b in segments(energy)], "n_frames": len(rows)}
+@cache
+def _stored_schema():
+    import pyarrow as pa
+
+    return pa.schema([("n_frames", pa.int64()), ("log_mel", pa.fixed_shape_tensor(pa.float32(), (CELLS, N_MEL))), ("span_start", pa.list_(pa.float64())), ("span_end", pa.list_(pa.float64()))])
+
+
+def to_arrow(f: dict) -> bytes:
+    """The features as an Arrow stream of one record, whose tensor column has the fixed-shape tensor type."""
+    import pyarrow as pa
+
+    schema = _stored_schema()
+    kind = schema.field("log_mel").type
+    cells = pa.FixedSizeListArray.from_arrays(pa.array(f["tensor"].ravel()), CELLS * N_MEL)
+    one = pa.record_batch([pa.array([f["n_frames"]]), pa.ExtensionArray.from_storage(kind, cells), pa.array([[a for a, _ in f["spans"]]], pa.list_(pa.float64())), pa.array([[b for _, b in f["spans"]]], pa.list_(pa.float64()))], schema=schema)
+    out = pa.BufferOutputStream()
+    with pa.ipc.new_stream(out, schema) as writer:
+        writer.write_batch(one)
+    return out.getvalue().to_pybytes()
+
+
+def from_arrow(stored: bytes) -> dict:
+    import pyarrow as pa
+
+    with pa.ipc.open_stream(stored) as reader:
+        one = reader.read_next_batch()
+    spans = zip(one.column(2)[0].as_py(), one.column(3)[0].as_py(), strict=True)
+    return {"n_frames": one.column(0)[0].as_py(), "tensor": one.column(1).storage.flatten().to_numpy().reshape(CELLS, N_MEL), "spans": list(spans)}
 
 
 def feature_string(f: dict) -> str:
@@ -156,17 +199,18 @@ def padded(payload: bytes) -> bytes:
     return payload + bytes([PAD]) * (n - len(payload))
 
 
-#: The media columns; the tensor is of fixed shape CELLS x N_MEL, row by row.
-SCHEMA = "doc_id long, n_bytes long, media binary, payload_sha256 string, tail_crc32 long, payload_bytes long, media_bytes long, media_sha256 string, tensor array<float>, span_start array<double>, span_end array<double>, feature string"
+#: The media columns. ``features`` is the stored record; what follows it is read back from it, the tensor row by row.
+SCHEMA = "doc_id long, n_bytes long, media binary, payload_sha256 string, tail_crc32 long, payload_bytes long, media_bytes long, media_sha256 string, features binary, tensor array<float>, span_start array<double>, span_end array<double>, feature string"
 
 
 def _columns(media: bytes, n_bytes: int, keep: bool) -> tuple:
-    back, f = from_wav(media)[0], features(media)
-    return n_bytes, media if keep else None, hashlib.sha256(back).hexdigest(), zlib.crc32(back[-32:]), len(back), len(media), hashlib.sha256(media).hexdigest(), f["tensor"].ravel().tolist(), [a for a, _ in f["spans"]], [b for _, b in f["spans"]], feature_string(f)
+    back, stored = from_wav(media)[0], to_arrow(features(media))
+    f = from_arrow(stored)
+    return n_bytes, media if keep else None, hashlib.sha256(back).hexdigest(), zlib.crc32(back[-32:]), len(back), len(media), hashlib.sha256(media).hexdigest(), stored if keep else None, f["tensor"].ravel(), [a for a, _ in f["spans"]], [b for _, b in f["spans"]], feature_string(f)
 
 
 def media_columns(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep_media: bool = True) -> DataFrame:
-    """The columns of SCHEMA for every row; without keep_media the container itself is null."""
+    """The columns of SCHEMA for every row; without keep_media the container and the stored record are null."""
     names = [c.split()[0] for c in SCHEMA.split(", ")]
 
     def run(batches):
@@ -188,14 +232,4 @@ def media_columns(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
 
 
 def TYPES(pa) -> list:  # noqa: N802
-    return [pa.int64(), pa.int64(), pa.binary(), pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.list_(pa.float32()), pa.list_(pa.float64()), pa.list_(pa.float64()), pa.string()]
-
-
-def to_arrow(rows: list) -> object:
-    """Rows of ``media_columns`` as an Arrow table whose tensor column has the fixed-shape tensor type."""
-    import pyarrow as pa
-
-    flat = np.asarray([r["tensor"] for r in rows], np.float32).reshape(-1)
-    kind = pa.fixed_shape_tensor(pa.float32(), (CELLS, N_MEL))
-    cells = pa.FixedSizeListArray.from_arrays(pa.array(flat), CELLS * N_MEL)
-    return pa.table({"doc_id": pa.array([r["doc_id"] for r in rows], pa.int64()), "media": pa.array([r["media"] for r in rows], pa.binary()), "log_mel": pa.ExtensionArray.from_storage(kind, cells), "span_start": pa.array([list(r["span_start"]) for r in rows], pa.list_(pa.float64())), "span_end": pa.array([list(r["span_end"]) for r in rows], pa.list_(pa.float64()))})
+    return [pa.int64(), pa.int64(), pa.binary(), pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.binary(), pa.list_(pa.float32()), pa.list_(pa.float64()), pa.list_(pa.float64()), pa.string()]
