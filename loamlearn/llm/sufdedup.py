@@ -7,12 +7,13 @@ hash (its anchor). Runs of suffixes with one anchor travel as one piece of text
 2 * length - GRAM bytes. Three rounds of messages (see ``packed``):
 
 1. groups send the hashes of their anchors, buckets answer which occur in another document;
-2. groups send the pieces around those anchors, equal pieces once with their least document. A
-   bucket sorts its suffixes block by block: by the first 8 bytes, long ties by the ranks of a
-   difference cover (positions i mod 7 in {0, 1, 3}, ranked by prefix doubling to 56 bytes). Pieces
-   are laid out so that their anchors stand at multiples of 7; equal strings then have equal
-   residues and one cover rank decides a tie. Adjacent suffixes with ``length`` equal bytes form a
-   class; each gets the least document in which it starts;
+2. groups send the pieces around those anchors, equal pieces once with their least document (equal in
+   all bytes; a hash only brings them together). A bucket sorts its suffixes block by block: by the
+   first 8 bytes, long ties by the ranks of a difference cover (positions i mod 7 in {0, 1, 3}, ranked
+   by prefix doubling until all differ): two suffixes of any residues reach the cover by a common shift
+   below 7, where their ranks decide. Pieces are laid out so that their anchors stand at multiples of
+   7; equal strings then have equal residues, and most ties need one rank each. Adjacent suffixes with
+   ``length`` equal bytes form a class; each gets the least document in which it starts;
 3. groups apply the answers to their texts.
 
 Defined cases: null text is empty; a row with a null id has no order: it keeps all and removes
@@ -35,7 +36,8 @@ from .common import Workspace, mix64
 LENGTH, GRAM = 50, 26
 #: Difference cover modulo V: any two residues are shifted into COVER by one common shift below V.
 V, COVER = 7, (0, 1, 3)
-SHIFT = tuple(min(d for d in range(V) if (r + d) % V in COVER) for r in range(V))
+#: The common shift of each two residues; that of a residue with itself is its way to the cover.
+SHIFT = tuple(tuple(min(d for d in range(V) if (a + d) % V in COVER and (b + d) % V in COVER) for b in range(V)) for a in range(V))
 #: Bytes of text behind one bucket; suffixes in one block of a bucket; bytes hashed at once.
 BUCKET_BYTES, BLOCK_SUFFIXES, SLICE = 4 << 20, 100_000, 1 << 20
 _FAR = np.iinfo(np.int64).max
@@ -126,7 +128,7 @@ class _Runs:
         h = piece_hashes(group.data, first, size)
         order = np.lexsort((h, self.key[run]))
         k, h = self.key[run][order], h[order]
-        new = np.concatenate([[True], (k[1:] != k[:-1]) | (h[1:] != h[:-1])]) if len(order) else np.zeros(0, bool)
+        new = differing(group.data, first[order], size[order], k, h)
         at = np.flatnonzero(new)
         piece = np.empty(len(order), np.int64)
         piece[order] = np.cumsum(new) - 1
@@ -150,6 +152,23 @@ def piece_hashes(data: np.ndarray, first: np.ndarray, size: np.ndarray) -> np.nd
     return out
 
 
+def differing(data: np.ndarray, first: np.ndarray, size: np.ndarray, key: np.ndarray, h: np.ndarray) -> np.ndarray:
+    """Of pieces sorted by key and hash, whether each differs from the one before: in key, length or any byte."""
+    new = np.ones(len(first), bool)
+    if len(first) < 2:
+        return new
+    new[1:] = (key[1:] != key[:-1]) | (h[1:] != h[:-1]) | (size[1:] != size[:-1])
+    i = np.flatnonzero(~new)
+    word = np.ndarray((len(data) - 7,), "<u8", data, strides=(1,))
+    for off in range(0, 2 * LENGTH, 8):  # all 8-byte words, the last one up to the end
+        here = i[size[i] > off]
+        if not len(here):
+            break
+        at = np.minimum(off, size[here] - 8)
+        new[here[word[first[here] + at] != word[first[here - 1] + at]]] = True
+    return new
+
+
 def _send_anchors(n_buckets: int):
     def emit(group):
         runs = _Runs(group)
@@ -220,52 +239,88 @@ def _send_pieces(n_buckets: int):
     return apply
 
 
-def _dense(column: np.ndarray) -> np.ndarray:
-    """Ranks from 0; equal values share a rank."""
-    order = np.argsort(column)
-    s = column[order]
-    out = np.empty(len(order), np.int64)
-    out[order] = np.cumsum(np.concatenate([[False], s[1:] != s[:-1]])) if len(order) else 0
-    return out
+def cover_ranks(word: np.ndarray) -> np.ndarray:
+    """Ranks of the suffixes at cover positions, 1 and up, 0 elsewhere: those of all their bytes, equal ones by position.
+
+    word: the 8 bytes from each position on. Prefix doubling from 7 bytes; what is alone with its rank is settled.
+    """
+    n = len(word)
+    cover = np.flatnonzero(np.isin(np.arange(n) % V, COVER))
+    rank = np.zeros(2 * n + V, np.int64)
+    order = cover[np.argsort(word[cover] >> np.uint64(8), kind="stable")]
+    value = word[order] >> np.uint64(8)
+    # a rank is the place of the first of equals, so that parting equals leaves all other ranks as they are
+    where = np.arange(len(order))
+    new = np.concatenate([[True], value[1:] != value[:-1]])
+    width = V
+    while True:
+        rank[order] = np.maximum.accumulate(np.where(new, where, 0)) + 1
+        alone = new & np.append(new[1:], True)
+        if alone.all():
+            return rank
+        order, where = order[~alone], where[~alone]
+        if width > n:  # equal to the end
+            rank[order] = where + 1
+            return rank
+        group, behind = rank[order], rank[order + width]
+        by = np.lexsort((order, behind, group))
+        order, group, behind = order[by], group[by], behind[by]
+        new = np.concatenate([[True], (group[1:] != group[:-1]) | (behind[1:] != behind[:-1])])
+        width *= 2
 
 
 def sort_block(text: np.ndarray, suffixes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Suffix numbers in the order of their first bytes, and for each whether it equals the one before in LENGTH bytes.
+    """Suffix numbers in the order of their bytes, and for each whether it equals the one before in LENGTH bytes.
 
-    text ends in 8 * V spare bytes. Suffixes that stand alone with their first 8 bytes need no cover
-    rank; between tied suffixes of different residue, which differ within LENGTH bytes, the order is by rank.
+    text ends in 8 * V spare bytes. Suffixes that stand alone with their first 8 bytes need no cover rank.
     """
     word = np.zeros(len(text) - 8, np.uint64)
     for j in range(8):
         word = word << np.uint64(8) | text[j : len(text) - 8 + j]
-    head = word[suffixes]
-    order = np.argsort(head, kind="stable")
-    h = head[order]
-    tied = np.zeros(len(order), bool)
-    if len(order):
-        same = h[1:] == h[:-1]
-        tied[1:] |= same
-        tied[:-1] |= same
-    # ranks of the cover positions, from 7 to 56 bytes
-    n = len(word)
-    residue = np.arange(n) % V
-    cover = np.flatnonzero(np.isin(residue, COVER))
-    rank = np.zeros(n + 4 * V, np.int64)
-    rank[cover] = _dense(word[cover] >> np.uint64(8)) + 1
-    for width in (V, 2 * V, 4 * V):
-        rank[cover] = _dense(rank[cover] * np.int64(n + 1) + rank[cover + width]) + 1
+    order = np.argsort(word[suffixes], kind="stable")
+    h = word[suffixes][order]
+    same = np.zeros(len(order), bool)
+    same[1:] = h[1:] == h[:-1]
+    tied = same | np.append(same[1:], False)
+    rank = cover_ranks(word)
+    shift = np.array(SHIFT)
     who = order[tied]
-    at = suffixes[who]
-    shift = np.array(SHIFT)[at % V]
-    ht = h[tied]
+    at, ht = suffixes[who], h[tied]
     group = np.cumsum(np.concatenate([[False], ht[1:] != ht[:-1]])) if len(ht) else np.zeros(0, np.int64)
-    order[tied] = who[np.argsort((group * V + at % V) * np.int64(n + 1) + rank[at + shift])]
+    residue = at % V
+    scale = np.int64(len(rank) + 1)
+    place = np.zeros(len(who), np.int64)  # within the tied group
+    # of one residue: by the ranks at their way to the cover
+    own = np.argsort((group * V + residue) * scale + rank[at + shift[residue, residue]])
+    g = (group * V + residue)[own]
+    first = np.flatnonzero(np.concatenate([[True], g[1:] != g[:-1]])) if len(g) else np.zeros(0, np.int64)
+    place[own] = np.arange(len(own)) - np.repeat(first, np.diff(np.append(first, len(own))))
+    # of two residues, in groups that have several: each counts the others before it, by the ranks at the common shift
+    kinds = np.zeros((int(group[-1]) + 1 if len(group) else 0, V), bool)
+    kinds[group, residue] = True
+    several = kinds.sum(axis=1) > 1
+    mixed = np.flatnonzero(several[group]) if len(group) else np.zeros(0, np.int64)
+    for a in range(V):
+        for b in range(a + 1, V):
+            two = mixed[((residue[mixed] == a) | (residue[mixed] == b)) & (kinds[group[mixed], a] & kinds[group[mixed], b])]
+            if not len(two):
+                continue
+            by = two[np.argsort(group[two] * scale + rank[at[two] + shift[a, b]])]
+            is_a, g = residue[by] == a, group[by]
+            first = np.flatnonzero(np.concatenate([[True], g[1:] != g[:-1]]))
+            for mine in (is_a, ~is_a):
+                others = np.cumsum(~mine)
+                base = np.repeat((others - ~mine)[first], np.diff(np.append(first, len(by))))
+                place[by[mine]] += (others - base)[mine]
+    start = np.searchsorted(group, group, "left") if len(group) else group
+    sorted_who = np.empty(len(who), np.int64)
+    sorted_who[start + place] = who
+    order[tied] = sorted_who
     s = suffixes[order]
     equal = np.zeros(len(s), bool)
     if len(s) > 1:
         a, b = s[:-1], s[1:]
-        same = h[1:] == h[:-1]
-        i = np.flatnonzero(same)
+        i = np.flatnonzero(same[1:])
         for off in [*range(8, LENGTH - 8, 8), LENGTH - 8]:
             i = i[word[a[i] + off] == word[b[i] + off]]
         equal[1:][i] = True
@@ -297,7 +352,7 @@ def _classes(bucket, parts):
     h = piece_hashes(texts, start, size)
     order = np.lexsort((h, keys))
     k, h = keys[order], h[order]
-    new = np.concatenate([[True], (k[1:] != k[:-1]) | (h[1:] != h[:-1])])
+    new = differing(texts, start[order], size[order], k, h)
     head = np.flatnonzero(new)
     kind = np.empty(len(order), np.int64)
     kind[order] = np.cumsum(new) - 1

@@ -205,14 +205,31 @@ def test_suffix_dedup(spark):
     assert r[1]["n_removed"] == 0 and r[2]["n_bytes"] - r[2]["n_removed"] < 12
 
 
-def test_suffix_order_is_right():
-    """Within a block suffixes come in the order of their first bytes, wherever one cover rank decides."""
+@pytest.mark.parametrize("letters,period", [(2, 0), (26, 0), (1, 0), (2, 5), (3, 7), (2, 60)])
+def test_suffix_order_is_right(letters, period):
+    """Within a block suffixes of every residue come in the order of their bytes."""
     rng = np.random.default_rng(1)
-    text = np.concatenate([rng.integers(97, 99, 600).astype(np.uint8), np.zeros(70, np.uint8)])
-    at = np.arange(0, 500, 7)
-    order, equal = sufdedup.sort_block(text, at)
-    cut = [bytes(text[i : i + 56]) for i in at[order]]
-    assert cut == sorted(cut) and equal[1:].tolist() == [a[:50] == b[:50] for a, b in zip(cut, cut[1:], strict=False)]
+    text = rng.integers(97, 97 + letters, 600).astype(np.uint8)
+    if period:
+        text = np.resize(text[:period], 600)
+        text[rng.integers(0, 600, 3)] = 98
+    text = np.concatenate([text, np.zeros(70, np.uint8)])
+    for at in (np.arange(0, 600), rng.permutation(600)[:250], np.arange(0, 500, 7), np.zeros(0, np.int64)):
+        order, equal = sufdedup.sort_block(text, at)
+        cut = [bytes(text[i:]) for i in at[order]]
+        assert cut == sorted(cut) and equal[1:].tolist() == [a[:50] == b[:50] for a, b in zip(cut, cut[1:], strict=False)]
+
+
+def test_cover_has_a_common_shift():
+    assert all((a + sufdedup.SHIFT[a][b]) % 7 in sufdedup.COVER and (b + sufdedup.SHIFT[a][b]) % 7 in sufdedup.COVER and sufdedup.SHIFT[a][b] == sufdedup.SHIFT[b][a] for a in range(7) for b in range(7))
+
+
+def test_pieces_of_one_hash_are_told_apart():
+    data = np.frombuffer(b"a" * 60 + b"a" * 59 + b"b" + b"a" * 60 + b"c" * 60, np.uint8)
+    first, size = np.array([0, 60, 120, 180, 180]), np.array([60, 60, 60, 60, 55])
+    one = np.zeros(5, np.uint64)
+    assert sufdedup.differing(data, first, size, one, one).tolist() == [True, True, True, True, True]
+    assert sufdedup.differing(data, first[[0, 2, 1, 1, 3]], size[[0, 2, 1, 1, 3]], one, one).tolist() == [True, False, True, False, True]
 
 
 def test_gram_hashes_and_groups(spark):
