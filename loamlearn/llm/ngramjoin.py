@@ -19,7 +19,14 @@ rows, unless their set shares fewer of the scheme than any linked pair must. Lin
    parts of the sets, to which each set goes once however many partners it has there.
 
 So a group of near copies around one original costs one comparison a member, while every pair that
-is not yet known to be connected is compared. Components come from alternating star contractions.
+is not yet known to be connected is compared. Both steps verify in blocks of two parts of the sets, so
+that the partners of one set, and the members of one signature (``PAIRED`` at a time), are dealt over many
+tasks. Components come from alternating star contractions.
+
+Shingles are 64-bit hashes, as are the names of sets, and a signature's holders are told apart by 32 bits:
+two shingles of a pair are taken for one with a chance of the product of its sizes over 2**64, two different
+sets for equal ones with a chance of 2**-64 (of 10**10 sets, 2.7 pairs), and a pair that shares but one
+signature is overlooked with a chance of 2**-32.
 
 Defined cases: texts without words and null texts have an empty set, linked with nothing; with fewer
 than n words the whole sequence is the one shingle; equal sets are one node with all their documents;
@@ -30,7 +37,7 @@ an empty result; other columns are ignored.
 from __future__ import annotations
 
 from functools import cache
-from math import erfc, exp, sqrt
+from math import erfc, exp, isqrt, sqrt
 
 import numpy as np
 from pyspark.sql import DataFrame
@@ -41,6 +48,8 @@ from .common import Workspace, mix64
 
 WORDS, PERCENT = 4, 85
 BUCKET_BYTES, LEVELS = 8 << 20, 5
+#: Members of a signature that are paired in one piece, and rows of such pieces in one task.
+PAIRED, CELL_ROWS = 512, 5000
 #: Cost model: share of an ordinary text that unrelated ones may hold too, and a candidate's cost in signatures.
 COMMON_SHARE, CANDIDATE_COST = 0.2, 50.0
 #: Share of a band's sets that may need another level.
@@ -338,16 +347,17 @@ def _partners(percent: int):
     def run(table):
         import pyarrow as pa
 
-        t = table.sort_by("sig")
-        sig, who, n, weak, band, label = (t.column(c).to_numpy() for c in ("sig", "set_id", "n", "weak", "band", "label"))
+        t = table.sort_by([("sig", "ascending"), ("lo", "ascending"), ("hi", "ascending")])
+        sig, lo, hi, own, who, n, weak, band, label = (t.column(c).to_numpy() for c in ("sig", "lo", "hi", "own", "set_id", "n", "weak", "band", "label"))
+        piece = np.cumsum(np.concatenate([[False], (sig[1:] != sig[:-1]) | (lo[1:] != lo[:-1]) | (hi[1:] != hi[:-1])]))
         left, right, least = [], [], []
         step, rows = 1, np.arange(len(sig) - 1)
         while len(rows):
             rows = rows[rows + step < len(sig)]
-            rows = rows[sig[rows] == sig[rows + step]]
+            rows = rows[piece[rows] == piece[rows + step]]
             a, b = rows, rows + step
             small, large = np.minimum(n[a], n[b]), np.maximum(n[a], n[b])
-            ok = (label[a] != label[b]) & (small * 100 >= percent * large) & (band_of(small, percent) == band[a])
+            ok = (label[a] != label[b]) & ((lo[a] == hi[a]) | (own[a] != own[b])) & (small * 100 >= percent * large) & (band_of(small, percent) == band[a])
             a, b = a[ok], b[ok]
             double, segments, _ = _schemes(band[a], percent)
             need = segments + double - most_different(n[a], n[b], percent) - np.minimum(weak[a], weak[b])
@@ -424,11 +434,21 @@ def _block_verified(percent: int):
     return run
 
 
-def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The pairs (a, b) that are linked, on their whole sets."""
-    got = pairs.join(sets.select(F.col("set_id").alias("b"), F.col("shingles").alias("y")), "b").join(sets.select(F.col("set_id").alias("a"), F.col("shingles").alias("x")), "a")
-    common = F.size(F.array_intersect("x", "y"))
-    return got.withColumn("common", common).filter(F.col("common") * 100 >= (F.size("x") + F.size("y") - F.col("common")) * percent).select("a", "b")
+def _packed_pairs(table):
+    """One block's pairs and the sets that they name."""
+    import pyarrow as pa
+
+    a, b = table.column("a").to_numpy(), table.column("b").to_numpy()
+    return pa.table({"p": table.column("p").slice(0, 1), "q": table.column("q").slice(0, 1), "pairs": pa.array([np.stack([a, b], axis=1).astype("<i8").tobytes()], pa.binary()), "named": pa.array([np.unique(np.concatenate([a, b]))], pa.list_(pa.int64()))})
+
+
+BLOCKS = "p long, q long, pairs binary, named array<long>"
+
+
+def _verified(blocks: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """The pairs (a, b) of saved BLOCKS that are linked, on their whole sets."""
+    named = blocks.select(F.col("p").alias("np"), F.col("q").alias("nq"), F.explode("named").alias("set_id")).join(sets, "set_id")
+    return named.groupBy("np", "nq").cogroup(blocks.select("p", "q", "pairs").groupBy("p", "q")).applyInArrow(_block_verified(percent), "a long, b long")
 
 
 def components(links: DataFrame, ws: Workspace, most_rounds: int = 60) -> DataFrame:
@@ -456,10 +476,11 @@ def components(links: DataFrame, ws: Workspace, most_rounds: int = 60) -> DataFr
 
 
 def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS, percent: int = PERCENT) -> DataFrame:
-    """doc_id, n_shingles, component_id, n_links: one row for each row.
+    """doc_id, n_shingles, component_id, least_links: one row for each row.
 
-    n_links: links of the document's set that were found and verified; a pair that was already known
-    to be connected through a centre is not compared again, so this is a lower bound on its partners.
+    least_links: links of the document's set that were found and verified; a pair that was already known
+    to be connected through a centre is not compared again, so the set has at least as many, and at
+    least one if its component holds another set.
     """
     ws = Workspace(docs.sparkSession, "ngrams")
     groups = ws.save(packed.pack(docs, id_col, text_col), "groups")
@@ -475,30 +496,36 @@ def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     centre = members.groupBy("sig").agg(F.max(F.struct("score", "set_id", "n")).alias("c"))
     star = members.join(centre, "sig").filter("set_id <> c.set_id").filter(F.least("n", "c.n") * 100 >= F.greatest("n", "c.n") * percent)
     star = ws.save(star.select(F.least("set_id", "c.set_id").alias("a"), F.greatest("set_id", "c.set_id").alias("b"), F.col("c.set_id").alias("centre"), F.col("c.score").alias("score")).groupBy("a", "b").agg(F.max(F.struct("score", "centre")).alias("c")), "star")
-    links = ws.save(_verified(star, sets, percent).join(star, ["a", "b"]), "star-links")
+    # centre and member each go to one of n_side parts: a centre of any number of members is dealt over n_side tasks
+    n_side = max(8, 2 * isqrt(n_buckets))
+    member = F.when(F.col("a") == F.col("c.centre"), F.col("b")).otherwise(F.col("a"))
+    sides = star.select(F.pmod("c.centre", F.lit(n_side)).alias("p"), F.pmod(member, F.lit(n_side)).alias("q"), "a", "b")
+    star_blocks = ws.save(sides.groupBy("p", "q").applyInArrow(_packed_pairs, BLOCKS), "star-blocks")
+    links = ws.save(_verified(star_blocks, sets, percent).join(star, ["a", "b"]), "star-links")
     label = links.select(F.when(F.col("c.centre") == F.col("a"), F.col("b")).otherwise(F.col("a")).alias("set_id"), "c").groupBy("set_id").agg(F.max("c").alias("c")).select("set_id", F.col("c.centre").alias("label"))
     # a centre that follows another keeps its own label: equal labels always mean linked to that set or being it
     label = label.join(label.select(F.col("label").alias("set_id")).distinct(), "set_id", "left_anti")
 
     labelled = members.join(label, "set_id", "left").withColumn("label", F.coalesce("label", "set_id"))
-    mixed = labelled.groupBy("sig").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).filter("lo <> hi").select("sig")
-    labelled = labelled.join(mixed, "sig", "left_semi")
-    n_cells = max(64, 4 * n_buckets)
-    cells = F.pmod(F.xxhash64("sig"), F.lit(n_cells)).cast("int")
-    lists = labelled.select("sig", "set_id", "n", "weak", "band", "label", cells.alias("cell")).groupBy("cell").applyInArrow(_partners(percent), "set_id long, partners binary")
+    mixed = labelled.groupBy("sig").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.count(F.lit(1)).alias("m")).filter("lo <> hi")
+    mixed = ws.save(mixed.select("sig", F.ceil(F.col("m") / PAIRED).cast("int").alias("pieces"), "m"), "mixed")
+    # members of a signature are cut into pieces, which meet two by two: no task pairs more than two of them at once
+    labelled = labelled.join(mixed, "sig").withColumn("own", F.pmod(F.xxhash64("set_id"), F.col("pieces").cast("long")).cast("int"))
+    labelled = labelled.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("pieces") - 1))).withColumn("lo", F.least("own", "other")).withColumn("hi", F.greatest("own", "other"))
+    n_cells = max(64, 4 * n_buckets, (mixed.agg(F.sum(F.col("m") * F.col("pieces"))).first()[0] or 0) // CELL_ROWS)
+    cells = F.pmod(F.xxhash64("sig", "lo", "hi"), F.lit(n_cells)).cast("int")
+    lists = labelled.select("sig", "lo", "hi", "own", "set_id", "n", "weak", "band", "label", cells.alias("cell")).groupBy("cell").applyInArrow(_partners(percent), "set_id long, partners binary")
     part = F.pmod(F.col("set_id"), F.lit(n_cells))
-    blocks = lists.withColumn("cell", part).groupBy("cell").applyInArrow(_counted(n_cells), "p long, q long, pairs binary, named array<long>")
+    blocks = lists.withColumn("cell", part).groupBy("cell").applyInArrow(_counted(n_cells), BLOCKS)
     blocks = ws.save(blocks, "blocks")
-    named = blocks.select(F.col("p").alias("np"), F.col("q").alias("nq"), F.explode("named").alias("set_id")).join(sets, "set_id")
-    rest = named.groupBy("np", "nq").cogroup(blocks.select("p", "q", "pairs").groupBy("p", "q")).applyInArrow(_block_verified(percent), "a long, b long")
-    found = ws.save(links.select("a", "b").unionByName(rest).distinct(), "links")
+    found = ws.save(links.select("a", "b").unionByName(_verified(blocks, sets, percent)).distinct(), "links")
 
     node = components(found, ws)
-    degree = found.select(F.explode(F.array("a", "b")).alias("set_id")).groupBy("set_id").agg(F.count(F.lit(1)).alias("n_links"))
+    degree = found.select(F.explode(F.array("a", "b")).alias("set_id")).groupBy("set_id").agg(F.count(F.lit(1)).alias("least_links"))
     texts = rows.filter("kind = 0").select(F.col("id").alias("doc_id"), "set_id", F.col("n").alias("n_shingles"))
     per_set = texts.filter("set_id IS NOT NULL").groupBy("set_id").agg(F.min("doc_id").alias("first_doc"))
     per_set = per_set.join(node.withColumnRenamed("node", "set_id"), "set_id", "left").withColumn("least", F.coalesce("least", "set_id"))
     lowest = per_set.groupBy("least").agg(F.min("first_doc").alias("component_id"))
-    per_set = per_set.join(lowest, "least").join(degree, "set_id", "left").select("set_id", "component_id", F.coalesce("n_links", F.lit(0)).alias("n_links"))
+    per_set = per_set.join(lowest, "least").join(degree, "set_id", "left").select("set_id", "component_id", F.coalesce("least_links", F.lit(0)).alias("least_links"))
     out = texts.join(per_set, "set_id", "left")
-    return out.select("doc_id", "n_shingles", F.when(F.col("set_id").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
+    return out.select("doc_id", "n_shingles", F.when(F.col("set_id").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"), F.coalesce("least_links", F.lit(0)).cast("long").alias("least_links"))

@@ -282,6 +282,22 @@ def test_ngram_join(spark, words, percent):
     assert got == _brute_join(rows, words, percent)
 
 
+def test_ngram_join_of_a_signature_with_many_members(spark, monkeypatch):
+    """A shared passage among texts of different rests: members of its signatures are paired piece by piece."""
+    monkeypatch.setattr(ngramjoin, "PAIRED", 3)
+    monkeypatch.setattr(ngramjoin, "CELL_ROWS", 4)
+    rng = np.random.default_rng(4)
+    passage = [f"p{i}" for i in range(40)]
+    rows = []
+    for i in range(60):
+        rest = [f"r{x}" for x in np.random.default_rng(i // 3).integers(0, 9999, 7)]
+        w = passage + rest
+        w[int(rng.integers(0, 40))] = f"x{rng.integers(0, 3)}"
+        rows.append((i + 1, " ".join(w), "en", "a"))
+    got = sorted((tuple(r)[:3] for r in ngramjoin.jaccard_join(frame(spark, rows), words=1, percent=85).collect()), key=str)
+    assert got == _brute_join(rows, 1, 85)
+
+
 def test_ngram_join_edges(spark):
     assert ngramjoin.jaccard_join(frame(spark, [])).count() == 0
     got = {r["doc_id"]: r["component_id"] for r in ngramjoin.jaccard_join(frame(spark, [(3, LONG, "", ""), (1, LONG + " tail of it", "", ""), (2, "other words are here now", "", "")])).collect()}
