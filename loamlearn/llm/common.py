@@ -51,9 +51,9 @@ class Workspace:
 
 
 def free_name(df: DataFrame, stem: str) -> str:
-    """A column name that ``df`` does not have."""
-    name, taken = f"__{stem}", {c.lower() for c in df.columns}
-    while name.lower() in taken:
+    """A name with which no column of ``df`` begins."""
+    name, taken = f"__{stem}", [c.lower() for c in df.columns]
+    while any(c.startswith(name.lower()) for c in taken):
         name += "_"
     return name
 
