@@ -496,10 +496,10 @@ def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     centre = members.groupBy("sig").agg(F.max(F.struct("score", "set_id", "n")).alias("c"))
     star = members.join(centre, "sig").filter("set_id <> c.set_id").filter(F.least("n", "c.n") * 100 >= F.greatest("n", "c.n") * percent)
     star = ws.save(star.select(F.least("set_id", "c.set_id").alias("a"), F.greatest("set_id", "c.set_id").alias("b"), F.col("c.set_id").alias("centre"), F.col("c.score").alias("score")).groupBy("a", "b").agg(F.max(F.struct("score", "centre")).alias("c")), "star")
-    # centre and member each go to one of n_side parts: a centre of any number of members is dealt over n_side tasks
-    n_side = max(8, 2 * isqrt(n_buckets))
+    # blocks are of bounded bytes by the parts of centres; the members of one centre are dealt over n_sides blocks
+    n_parts, n_sides = max(64, 4 * n_buckets), max(8, isqrt(n_buckets))
     member = F.when(F.col("a") == F.col("c.centre"), F.col("b")).otherwise(F.col("a"))
-    sides = star.select(F.pmod("c.centre", F.lit(n_side)).alias("p"), F.pmod(member, F.lit(n_side)).alias("q"), "a", "b")
+    sides = star.select(F.pmod("c.centre", F.lit(n_parts)).alias("p"), F.pmod(member, F.lit(n_sides)).alias("q"), "a", "b")
     star_blocks = ws.save(sides.groupBy("p", "q").applyInArrow(_packed_pairs, BLOCKS), "star-blocks")
     links = ws.save(_verified(star_blocks, sets, percent).join(star, ["a", "b"]), "star-links")
     label = links.select(F.when(F.col("c.centre") == F.col("a"), F.col("b")).otherwise(F.col("a")).alias("set_id"), "c").groupBy("set_id").agg(F.max("c").alias("c")).select("set_id", F.col("c.centre").alias("label"))
@@ -512,11 +512,12 @@ def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     # members of a signature are cut into pieces, which meet two by two: no task pairs more than two of them at once
     labelled = labelled.join(mixed, "sig").withColumn("own", F.pmod(F.xxhash64("set_id"), F.col("pieces").cast("long")).cast("int"))
     labelled = labelled.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("pieces") - 1))).withColumn("lo", F.least("own", "other")).withColumn("hi", F.greatest("own", "other"))
-    n_cells = max(64, 4 * n_buckets, (mixed.agg(F.sum(F.col("m") * F.col("pieces"))).first()[0] or 0) // CELL_ROWS)
+    n_cells = max(n_parts, (mixed.agg(F.sum(F.col("m") * F.col("pieces"))).first()[0] or 0) // CELL_ROWS)
     cells = F.pmod(F.xxhash64("sig", "lo", "hi"), F.lit(n_cells)).cast("int")
     lists = labelled.select("sig", "lo", "hi", "own", "set_id", "n", "weak", "band", "label", cells.alias("cell")).groupBy("cell").applyInArrow(_partners(percent), "set_id long, partners binary")
-    part = F.pmod(F.col("set_id"), F.lit(n_cells))
-    blocks = lists.withColumn("cell", part).groupBy("cell").applyInArrow(_counted(n_cells), BLOCKS)
+    # parts of the sets don't follow the number of pieces: a set goes to as many blocks as it has partners' parts
+    part = F.pmod(F.col("set_id"), F.lit(n_parts))
+    blocks = lists.withColumn("cell", part).groupBy("cell").applyInArrow(_counted(n_parts), BLOCKS)
     blocks = ws.save(blocks, "blocks")
     found = ws.save(links.select("a", "b").unionByName(_verified(blocks, sets, percent)).distinct(), "links")
 
