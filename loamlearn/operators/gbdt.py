@@ -1,10 +1,11 @@
 """Gradient boosted trees on binned features.
 
 Rows are (y, weight, bins array, score, gradient pairs); a level's histograms are one job: tasks route
-their rows through the tree so far and count into per-node histograms, which are summed by node on the
-executors. Only the smaller child of a split is counted, its sibling is the parent minus it. Split
-search, growth policy and the pool of histograms are on the driver, which holds nodes x features x
-bins numbers at most, whatever the number of rows.
+their rows through the tree so far and count into per-node histograms, which are summed on the executors
+by node and range of features, in two steps if there are many tasks. Only the smaller child of a split
+is counted, its sibling is the parent minus it. Growth by loss counts for the best few open nodes
+at once, so that a job serves several splits. Split search, growth policy and the pool of histograms are on the
+driver, which holds nodes x features x bins numbers at most, whatever the number of rows.
 """
 
 from __future__ import annotations
@@ -18,7 +19,7 @@ from pyspark.sql import functions as F
 
 from ..functions.losses import A, MultiLoss, loss as loss_of
 from ..functions.quantile import weighted_quantiles
-from ..plans.session import saved
+from ..plans.session import Rolling, saved
 from .binning import assign, bin_edges, split_value
 
 
@@ -202,10 +203,20 @@ def best_split(hist: np.ndarray, p: Params, allowed: np.ndarray | None = None):
     return float(gain[f, b]), f, b, b + 1 + int(np.argmax(used[f, b + 1 :]))
 
 
-def histograms(rows: DataFrame, tree: Tree, wanted: list[int], n_features: int, n_bins: int, group: int = 0) -> dict[int, np.ndarray]:
-    """Sums of (G, H, n) by feature and bin over sampled rows of the wanted nodes: one job."""
+#: Partial histograms that one task adds at first, and numbers of one of them in one row.
+FAN, SPREAD = 64, 4096
+#: Open nodes that growth by loss counts for in one job.
+AHEAD = 16
+
+
+def histograms(rows: DataFrame, tree: Tree, wanted: list[int], n_features: int, n_bins: int, group: int = 0, tasks: int | None = None) -> dict[int, np.ndarray]:
+    """Sums of (G, H, n) by feature and bin over sampled rows of the wanted nodes: one job.
+
+    tasks: partitions of ``rows``, if known.
+    """
     sent = rows.sparkSession.sparkContext.broadcast((tree, wanted))
     size = n_features * n_bins
+    parts = -(-size // SPREAD)
 
     def run(batches):
         import pyarrow as pa
@@ -213,7 +224,7 @@ def histograms(rows: DataFrame, tree: Tree, wanted: list[int], n_features: int,
         tree, wanted = sent.value
         place = np.full(len(tree.nodes), -1)
         place[wanted] = np.arange(len(wanted))
-        out = np.zeros((len(wanted), 3, size))
+        out, some = np.zeros((len(wanted), 3, size)), False
         base = np.arange(n_features) * n_bins
         for batch in batches:
             get = lambda c: batch.column(batch.schema.get_field_index(c))
@@ -226,16 +237,28 @@ def histograms(rows: DataFrame, tree: Tree, wanted: list[int], n_features: int,
             where = np.repeat(at[keep], n_features) * size + slots
             for j, v in enumerate((pairs[keep, 0], pairs[keep, 1], np.ones(int(keep.sum())))):
                 out[:, j] += np.bincount(where, np.repeat(v, n_features), len(wanted) * size).reshape(len(wanted), size)
-        yield pa.RecordBatch.from_pydict({"node": pa.array(wanted, pa.int32()), "h": [x.tobytes() for x in out]})
+            some = True
+        if some:
+            cut = [(n, i, np.ascontiguousarray(x[:, i * SPREAD : (i + 1) * SPREAD]).tobytes()) for n, x in zip(wanted, out, strict=True) for i in range(parts)]
+            yield pa.RecordBatch.from_arrays([pa.array([c[0] for c in cut], pa.int32()), pa.array([c[1] for c in cut], pa.int32()), pa.array([c[2] for c in cut], pa.binary())], ["node", "part", "h"])
 
     def add(table):
         import pyarrow as pa
 
-        return pa.table({"node": table.column("node").slice(0, 1), "h": [np.sum([np.frombuffer(x.as_py()) for x in table.column("h")], axis=0).tobytes()]})
-
-    got = rows.mapInArrow(run, "node int, h binary").groupBy("node").applyInArrow(add, "node int, h binary").collect()
+        total = np.zeros(len(table.column("h")[0].as_py()) // 8)
+        for x in table.column("h"):
+            total += np.frombuffer(x.as_py())
+        return pa.table({"node": table.column("node").slice(0, 1), "part": table.column("part").slice(0, 1), "h": pa.array([total.tobytes()], pa.binary())})
+
+    schema = "node int, part int, h binary"
+    sums = rows.mapInArrow(run, schema)
+    if (rows.rdd.getNumPartitions() if tasks is None else tasks) > FAN:
+        sums = sums.groupBy("node", "part", F.floor(F.spark_partition_id() / FAN)).applyInArrow(add, schema)
+    got: dict[int, list] = {}
+    for r in sums.groupBy("node", "part").applyInArrow(add, schema).collect():
+        got.setdefault(r["node"], [None] * parts)[r["part"]] = np.frombuffer(r["h"]).reshape(3, -1)
     sent.destroy()
-    return {r["node"]: np.frombuffer(r["h"]).reshape(3, n_features, n_bins).transpose(1, 2, 0) for r in got}
+    return {n: np.concatenate(h, axis=1).reshape(3, n_features, n_bins).transpose(1, 2, 0) for n, h in got.items()}
 
 
 class Pool:
@@ -264,7 +287,8 @@ def grow(rows: DataFrame, n_features: int, n_bins: int, p: Params, group: int =
         allowed = np.zeros(n_features, bool)
         allowed[rng.permutation(n_features)[: max(1, round(p.feature_rate * n_features))]] = True
     tree, pool = Tree([Node()]), Pool(p.pool)
-    fetch = lambda nodes: histograms(rows, tree, nodes, n_features, n_bins, group)
+    tasks = rows.rdd.getNumPartitions()
+    fetch = lambda nodes, t=tree: histograms(rows, t, nodes, n_features, n_bins, group, tasks)
     first = fetch([0]).get(0)
     if first is None:
         return tree
@@ -289,6 +313,27 @@ def grow(rows: DataFrame, n_features: int, n_bins: int, p: Params, group: int =
             heapq.heappush(queue, ((-found[0], seq) if p.policy == "loss" else (0, seq), i, found))
             seq += 1
 
+    def smaller_left(hist: np.ndarray, f: int, b: int) -> bool:
+        return hist[f, : b + 1, 2].sum() <= hist[f, b + 1 :, 2].sum()
+
+    counted: dict[int, np.ndarray] = {}  # node to be split: its smaller child's histogram
+
+    def count_ahead(batch: list, hists: dict) -> None:
+        """Counts for the nodes of the batch and, by loss, for the next best ones, as if they were split already."""
+        ahead = batch if p.policy != "loss" else batch + [(i, found) for _, i, found in heapq.nsmallest(AHEAD, queue) if pool.get(i) is not None]
+        plan = Tree([Node(**n.__dict__) for n in tree.nodes])
+        of = {}
+        for i, (_, f, b, r) in ahead:
+            if i in counted:
+                continue
+            hist, node = hists.get(i, pool.get(i)), plan.nodes[i]
+            node.feature, node.left_bin, node.right_bin, node.left, node.right = f, b, r, len(plan.nodes), len(plan.nodes) + 1
+            plan.nodes += [Node(), Node()]
+            of[node.left if smaller_left(hist, f, b) else node.right] = i
+        got = fetch(list(of), plan)
+        for child, i in of.items():
+            counted[i] = got.get(child, np.zeros((n_features, n_bins, 3)))
+
     push(0, first)
     leaves = 1
     while queue and leaves < p.leaf_cap:
@@ -299,29 +344,26 @@ def grow(rows: DataFrame, n_features: int, n_bins: int, p: Params, group: int =
             batch.append((i, found))
         lost = [i for i, _ in batch if pool.get(i) is None]
         again = fetch(lost) if lost else {}
-        ask = []
+        hists = {i: pool.get(i) if pool.get(i) is not None else again[i] for i, _ in batch}
+        if any(i not in counted for i, _ in batch):
+            count_ahead(batch, hists)
         for i, (gain, f, b, r) in batch:
-            hist = pool.get(i) if pool.get(i) is not None else again[i]
-            node = tree.nodes[i]
+            hist, one, node = hists[i], counted.pop(i), tree.nodes[i]
             node.feature, node.left_bin, node.right_bin, node.gain = f, b, r, gain
             node.left, node.right = len(tree.nodes), len(tree.nodes) + 1
             tree.nodes += [Node(depth=node.depth + 1), Node(depth=node.depth + 1)]
-            small_left = hist[f, : b + 1, 2].sum() <= hist[f, b + 1 :, 2].sum()
-            ask.append((i, hist, node.left if small_left else node.right, node.right if small_left else node.left))
-        got = fetch([s for _, _, s, _ in ask])
-        for i, hist, small, large in ask:
-            one = got.get(small, np.zeros_like(hist))
+            small, large = (node.left, node.right) if smaller_left(hist, f, b) else (node.right, node.left)
             pool.held.pop(i, None)
             pool.put(small, one)
             pool.put(large, hist - one)
-            for child in (tree.nodes[i].left, tree.nodes[i].right):
+            for child in (node.left, node.right):
                 push(child, one if child == small else hist - one)
             leaves += 1
     return tree
 
 
 def prepare(samples: DataFrame, features: list[str], values: dict[str, np.ndarray], fills: dict[str, float] | None = None, init_col: str | None = None) -> DataFrame:
-    """y (array), weight, bins, raw: dense rows with missing values filled. samples: label, weight, features (map)."""
+    """y (array), weight, bins: dense rows with missing values filled. samples: label, weight, features (map)."""
     edges = [bin_edges(values[f]) for f in features]
     fill = np.array([(fills or {}).get(f, 0.0) for f in features])
     sent = samples.sparkSession.sparkContext.broadcast((edges, fill))
@@ -338,11 +380,12 @@ def prepare(samples: DataFrame, features: list[str], values: dict[str, np.ndarra
             v = np.where(np.isnan(v), fill, v)
             bins = np.stack([assign(v[:, j], e) for j, e in enumerate(edges)], axis=1).astype(np.int32)
             flat = pa.ListArray.from_arrays(pa.array(np.arange(batch.num_rows + 1) * len(edges), pa.int32()), pa.array(bins.ravel()))
-            yield pa.RecordBatch.from_arrays([*batch.columns, flat], [*batch.schema.names, "bins"])
+            kept = [c for c in batch.schema.names if c != "raw"]
+            yield pa.RecordBatch.from_arrays([*(batch.column(batch.schema.get_field_index(c)) for c in kept), flat], [*kept, "bins"])
 
     from pyspark.sql import types as T
 
-    return base.mapInArrow(run, T.StructType([*base.schema.fields, T.StructField("bins", T.ArrayType(T.IntegerType()))]))
+    return base.mapInArrow(run, T.StructType([*(f for f in base.schema.fields if f.name != "raw"), T.StructField("bins", T.ArrayType(T.IntegerType()))]))
 
 
 def gradient_pairs(scores: np.ndarray, y: np.ndarray, weight: np.ndarray, objective) -> np.ndarray:
@@ -357,8 +400,9 @@ def gradient_pairs(scores: np.ndarray, y: np.ndarray, weight: np.ndarray, object
     return np.stack([g, h], axis=2) * weight[:, None, None]
 
 
-def advanced(state: DataFrame, trees: list[Tree], forest: Forest, p: Params, round_no: int) -> DataFrame:
-    """The state after some trees: new scores, gradient pairs and this round's sample. Saved, so lineage doesn't grow."""
+def advanced(state: DataFrame, trees: list[Tree], forest: Forest, p: Params, round_no: int, save=None) -> DataFrame:
+    """The state after some trees: new scores, gradient pairs and this round's sample. Saved, so lineage doesn't grow;
+    ``save`` may replace the state before."""
     groups = forest.groups
     sent = state.sparkSession.sparkContext.broadcast((trees, forest.objective, p, forest.base_score))
     fields = [f for f in state.schema.fields if f.name not in ("sum", "pairs", "sampled")]
@@ -388,7 +432,8 @@ def advanced(state: DataFrame, trees: list[Tree], forest: Forest, p: Params, rou
             pairs = gradient_pairs(start + total / max(1, done), y, get("weight").to_numpy(), objective)
             yield pa.RecordBatch.from_arrays([*[get(c) for c in keep], lists(total), lists(pairs.reshape(n, -1)), pa.array(get("__u").to_numpy() < p.instance_rate)], schema.names)
 
-    return saved(source.mapInArrow(run, schema), "boosting")
+    out = source.mapInArrow(run, schema)
+    return save(out) if save else saved(out, "boosting")
 
 
 def lad_refined(state: DataFrame, tree: Tree, forest: Forest, p: Params, round_no: int) -> None:
@@ -440,19 +485,23 @@ def train(samples: DataFrame, features: list[str], values: dict[str, np.ndarray]
             for n in t.nodes:
                 if not n.leaf:
                     n.left_bin = int(np.searchsorted(sorted_values[n.feature], n.threshold, "right")) - 1
-    state = advanced(state, forest.trees, forest, p, begun)
-    rng = np.random.default_rng(p.seed)
-    for r in range(begun, begun + p.rounds):
-        new = [grow(state, len(features), n_bins, p, k, rng) for k in range(groups)]
-        for t in new:
-            if p.lad_refine:
-                lad_refined(state, t, forest, p, r)
-            finish(t, sorted_values, fill, p.split_type)
-        forest.trees += new
-        if r + 1 < begun + p.rounds:
-            state = advanced(state, new, forest, p, r + 1)
-        if on_round:
-            on_round(r + 1, forest)
+    states = Rolling(samples.sparkSession, "boosting")  # the disk holds two states, whatever the number of rounds
+    try:
+        state = advanced(state, forest.trees, forest, p, begun, states.save)
+        rng = np.random.default_rng(p.seed)
+        for r in range(begun, begun + p.rounds):
+            new = [grow(state, len(features), n_bins, p, k, rng) for k in range(groups)]
+            for t in new:
+                if p.lad_refine:
+                    lad_refined(state, t, forest, p, r)
+                finish(t, sorted_values, fill, p.split_type)
+            forest.trees += new
+            if r + 1 < begun + p.rounds:
+                state = advanced(state, new, forest, p, r + 1, states.save)
+            if on_round:
+                on_round(r + 1, forest)
+    finally:
+        states.close()
     return forest
 
 

@@ -25,6 +25,10 @@ def _activated(objective: str, scores: np.ndarray) -> np.ndarray:
     return np.asarray(o.predict(A, scores[:, 0]))[:, None]
 
 
+#: Number of rows, then row, place and value of each known feature in them.
+Entries = tuple[int, np.ndarray, np.ndarray, np.ndarray]
+
+
 @dataclass
 class FieldOf:
     """The field of an FFM feature: the place of what stands before the delimiter, the bias's field being 0."""
@@ -52,32 +56,70 @@ class Predictor:
     bias: bool = True
     transform: Callable[[str, float], float] | None = None
 
-    def _rows(self, maps: list[dict]) -> Rows:
-        row, idx, val = [], [], []
-        for i, m in enumerate(maps):
-            for k, v in m.items():
-                j = self.index.get(k)
-                if j is not None:
-                    row.append(i)
-                    idx.append(j)
-                    val.append(self.transform(k, v) if self.transform else v)
-            if self.bias:
-                row.append(i)
-                idx.append(0)
-                val.append(1.0)
-        names = {j: k for k, j in self.index.items()} if self.field_of else {}
-        fld = np.array([self.field_of(names[j]) if j in names else 0 for j in idx], np.int64) if self.field_of else None
-        return Rows(len(maps), np.array(row, np.int64), np.array(idx, np.int64), np.array(val, float), fld)
-
-    def _dense(self, maps: list[dict]) -> np.ndarray:
-        return np.array([[m.get(f, np.nan) for f in self.model.features] for m in maps], float).reshape(len(maps), len(self.model.features))
+    def _places(self) -> dict[str, int]:
+        """The column or coefficient of every known feature."""
+        return {f: i for i, f in enumerate(self.model.features)} if isinstance(self.model, Forest) else self.index
+
+    def _of_maps(self, maps: list[dict]) -> Entries:
+        known = self._places()
+        got = [(i, known[k], v, k) for i, m in enumerate(maps) for k, v in m.items() if k in known]
+        return self._entries(len(maps), *(np.array([g[j] for g in got], t) for j, t in ((0, np.int64), (1, np.int64), (2, float))), [g[3] for g in got])
+
+    def _of_arrow(self, column, known) -> Entries:
+        """The known features of a column of maps. known: their names and places, in one order."""
+        import pyarrow.compute as pc
+
+        names, places = known
+        offsets = column.offsets.to_numpy()
+        part = slice(int(offsets[0]), int(offsets[-1])) if len(offsets) else slice(0, 0)
+        keys, values = column.keys[part], column.items[part]
+        at = pc.index_in(keys, names)
+        row = np.repeat(np.arange(len(column)), np.diff(offsets))
+        ok = np.asarray(at.is_valid()) & np.asarray(values.is_valid())
+        where = np.flatnonzero(ok)
+        value = values.cast("double").to_numpy(zero_copy_only=False)[where]
+        at = at.fill_null(0).to_numpy(zero_copy_only=False)[where]
+        return self._entries(len(column), row[where], places[at], value, [names[int(i)].as_py() for i in at] if self.transform else None)
+
+    def _entries(self, n: int, row: np.ndarray, at: np.ndarray, value: np.ndarray, names) -> Entries:
+        if self.transform:
+            value = np.array([self.transform(k, v) for k, v in zip(names, value, strict=True)], float)
+        return n, row, at, value
+
+    def _rows(self, e: Entries) -> Rows:
+        n, row, idx, val = e
+        if self.bias:
+            row, idx, val = np.concatenate([row, np.arange(n)]), np.concatenate([idx, np.zeros(n, np.int64)]), np.concatenate([val, np.ones(n)])
+        fld = None
+        if self.field_of:
+            of = np.zeros(max(self.index.values(), default=0) + 1, np.int64)
+            for k, j in self.index.items():
+                of[j] = self.field_of(k)
+            fld = of[idx]
+        return Rows(n, row, idx, val, fld)
+
+    def _dense(self, e: Entries) -> np.ndarray:
+        n, row, at, value = e
+        out = np.full((n, len(self.model.features)), np.nan)
+        out[row, at] = value
+        return out
+
+    def _scores(self, e: Entries) -> np.ndarray:
+        if isinstance(self.model, Forest):
+            return self.model.score(self._dense(e))
+        if isinstance(self.model, Ensemble):
+            return self.model.score(self._rows(e))[:, None]
+        return self.model.forward(self.w, self._rows(e))[0]
 
-    def scores(self, maps: list[dict]) -> np.ndarray:
+    def _leaves(self, e: Entries) -> np.ndarray:
         if isinstance(self.model, Forest):
-            return self.model.score(self._dense(maps))
+            return self.model.leaf_ids(self._dense(e)).astype(float)
         if isinstance(self.model, Ensemble):
-            return self.model.score(self._rows(maps))[:, None]
-        return self.model.forward(self.w, self._rows(maps))[0]
+            return self.model.gates(self._rows(e)).reshape(e[0], -1)
+        raise ValueError("only trees have leaves")
+
+    def scores(self, maps: list[dict]) -> np.ndarray:
+        return self._scores(self._of_maps(maps))
 
     def predicts(self, maps: list[dict]) -> np.ndarray:
         return _activated(self.objective, self.scores(maps))
@@ -98,11 +140,7 @@ class Predictor:
 
     def leaves(self, maps: list[dict]) -> np.ndarray:
         """Leaf ids of trees; expert weights (trees x K, flat) of soft trees."""
-        if isinstance(self.model, Forest):
-            return self.model.leaf_ids(self._dense(maps)).astype(float)
-        if isinstance(self.model, Ensemble):
-            return self.model.gates(self._rows(maps)).reshape(len(maps), -1)
-        raise ValueError("only trees have leaves")
+        return self._leaves(self._of_maps(maps))
 
     def apply(self, samples: DataFrame, kind: str = "value", name: str = "predicts", features_col: str = "features") -> DataFrame:
         """Adds an array column of predictions, scores or leaf values. Rows stay in their partitions and order."""
@@ -113,10 +151,14 @@ class Predictor:
         def run(batches):
             import pyarrow as pa
 
+            me = sent.value
+            places = me._places()
+            known = pa.array(list(places), pa.string()), np.fromiter(places.values(), np.int64, len(places))
+            score = {"value": lambda e: _activated(me.objective, me._scores(e)), "score": me._scores, "leafid": me._leaves}[kind]
             for batch in batches:
-                maps = [dict(m or ()) for m in batch.column(at).to_pylist()]
-                got = {"value": sent.value.predicts, "score": sent.value.scores, "leafid": sent.value.leaves}[kind](maps)
-                yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(list(np.asarray(got, float)), pa.list_(pa.float64()))], schema.names)
+                got = np.asarray(score(me._of_arrow(batch.column(at), known)), float)
+                lists = pa.ListArray.from_arrays(pa.array(np.arange(len(got) + 1) * got.shape[1], pa.int32()), pa.array(got.ravel()))
+                yield pa.RecordBatch.from_arrays([*batch.columns, lists], schema.names)
 
         return samples.mapInArrow(run, schema)
 
