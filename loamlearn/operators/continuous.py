@@ -330,8 +330,16 @@ def loss_and_slope(objective, scores: np.ndarray, label: np.ndarray) -> tuple[np
     return objective.loss(A, s, y), objective.first(A, s, y)[:, None]
 
 
-def evaluate(data: DataFrame, model: Model, objective_name: str, w: np.ndarray, options: dict | None = None, fan: int = 8) -> tuple[float, np.ndarray, float]:
-    """(weighted loss, gradient, sum of weights): one job. data: label, weight, idx, val (fld, z)."""
+#: Coefficients in one row of a partial gradient, tasks that are added at first, and bytes that the driver may add by itself.
+SPREAD, FAN, DIRECT = 1 << 16, 64, 64 << 20
+
+
+def evaluate(data: DataFrame, model: Model, objective_name: str, w: np.ndarray, options: dict | None = None, tasks: int | None = None) -> tuple[float, np.ndarray, float]:
+    """(weighted loss, gradient, sum of weights): one job. data: label, weight, idx, val (fld, z).
+
+    tasks: partitions of ``data``, if known. Unless all partial gradients together are small, ranges of coefficients
+    are added on executors, FAN tasks at a time first.
+    """
     sent = data.sparkSession.sparkContext.broadcast(w)
     opts = options or {}
 
@@ -350,22 +358,32 @@ def evaluate(data: DataFrame, model: Model, objective_name: str, w: np.ndarray,
             grad += model.backward(w, rows, kept, slope * weights[:, None])
             some = True
         if some:
-            yield pa.RecordBatch.from_pydict({"loss": [total], "weight": [weight], "grad": [grad.tobytes()]})
+            cuts = [grad[i : i + SPREAD].tobytes() for i in range(0, max(1, len(grad)), SPREAD)]
+            first = [1.0] + [0.0] * (len(cuts) - 1)
+            yield pa.RecordBatch.from_arrays([pa.array(range(len(cuts)), pa.int32()), pa.array([total * x for x in first]), pa.array([weight * x for x in first]), pa.array(cuts, pa.binary())], ["part", "loss", "weight", "grad"])
 
     def add(table):
         import pyarrow as pa
 
-        return pa.table({"loss": [sum(table.column("loss").to_pylist())], "weight": [sum(table.column("weight").to_pylist())], "grad": [np.sum([np.frombuffer(x.as_py()) for x in table.column("grad")], axis=0).tobytes()]})
+        grad = np.zeros(len(table.column("grad")[0].as_py()) // 8)
+        for x in table.column("grad"):
+            grad += np.frombuffer(x.as_py())
+        return pa.table({"part": table.column("part").slice(0, 1), "loss": [sum(table.column("loss").to_pylist())], "weight": [sum(table.column("weight").to_pylist())], "grad": pa.array([grad.tobytes()], pa.binary())})
 
-    schema = "loss double, weight double, grad binary"
+    schema = "part int, loss double, weight double, grad binary"
     parts = data.mapInArrow(run, schema)
-    if parts.rdd.getNumPartitions() > 4 * fan:  # two-step fold: the driver sees a few vectors, however many tasks
-        parts = parts.withColumn("f", F.pmod(F.spark_partition_id(), F.lit(fan))).groupBy("f").applyInArrow(lambda t: add(t.drop_columns(["f"])), schema)
-    got = parts.collect()
+    tasks = data.rdd.getNumPartitions() if tasks is None else tasks
+    if tasks * model.dim * 8 > DIRECT:
+        if tasks > FAN:
+            parts = parts.groupBy("part", F.floor(F.spark_partition_id() / FAN)).applyInArrow(add, schema)
+        parts = parts.groupBy("part").applyInArrow(add, schema)
+    grad, loss, weight = np.zeros(model.dim), 0.0, 0.0
+    for r in parts.collect():
+        x = np.frombuffer(r["grad"])
+        grad[r["part"] * SPREAD : r["part"] * SPREAD + len(x)] += x
+        loss, weight = loss + r["loss"], weight + r["weight"]
     sent.destroy()
-    if not got:
-        return 0.0, np.zeros(model.dim), 0.0
-    return sum(r["loss"] for r in got), np.sum([np.frombuffer(r["grad"]) for r in got], axis=0), sum(r["weight"] for r in got)
+    return loss, grad, weight
 
 
 @dataclass
@@ -385,24 +403,30 @@ def initial(model: Model, mode: str = "zero", seed: int = 1, mean: float = 0.0,
     return rng.uniform(low, high, model.dim) if mode == "uniform" else np.zeros(model.dim)
 
 
-def train(data: DataFrame, model: Model, objective: str, settings: Settings = Settings(), l1=(0.0,), l2=(0.0,), w0: np.ndarray | None = None, test: DataFrame | None = None, bias: bool = True, options: dict | None = None, just_evaluate: bool = False) -> Trained:
+def train(data: DataFrame, model: Model, objective: str, settings: Settings = Settings(), l1=(0.0,), l2=(0.0,), w0: np.ndarray | None = None, test: DataFrame | None = None, bias: bool = True, options: dict | None = None, just_evaluate: bool = False, on_iteration=None) -> Trained:
     """Minimises the weighted loss plus W (l2 / 2 |w|^2 + l1 |w|). With test data the best coefficients on it are kept.
 
     data is read once for each evaluation: cache it, or save it as a table of arrays.
     """
     w0 = initial(model, "zero" if isinstance(model, Linear | MulticlassLinear) else "normal") if w0 is None else w0
     weight = data.agg(F.coalesce(F.sum("weight"), F.lit(0.0))).first()[0]
-    f = lambda w: evaluate(data, model, objective, w, options)[:2]
+    tasks = data.rdd.getNumPartitions()
+    f = lambda w: evaluate(data, model, objective, w, options, tasks)[:2]
 
     def check(w):
         v, _, n = evaluate(test, model, objective, w, options)
         return v / n if n else float("nan")
 
+    def each(i, w, v):
+        if on_iteration:
+            on_iteration(i, w)
+        return check(w) if test is not None else None
+
     if just_evaluate:
         value = f(w0)[0]
         return Trained(model, w0, Result(w0, value, 0, True, [value]), weight, value / weight, check(w0) if test is not None else None)
     penalty = Penalty(model.penalty_ranges(list(l1), list(l2), bias), weight)
-    res = minimise(f, w0, settings, penalty, (lambda i, w, v: check(w)) if test is not None else None)
+    res = minimise(f, w0, settings, penalty, each if test is not None or on_iteration else None)
     w = res.best if res.best is not None else res.w
     return Trained(model, w, res, weight, f(w)[0] / weight, check(w) if test is not None else None)
 
@@ -473,15 +497,19 @@ class Ensemble:
         return np.stack([m.gates(w, rows) for m, w in self.trees], axis=1)
 
 
-def train_ensemble(data: DataFrame, kind: str, n: int, objective: str, tree_num: int, settings: Settings = Settings(), learning_rate: float = 0.1, ensemble: str = "gradient_boosting", k: int = 4, l1=(0.0,), l2=(0.0,), instance_rate: float = 1.0, feature_rate: float = 1.0, base_prediction: float = 0.5, seed: int = 1, start: Ensemble | None = None) -> Ensemble:
-    """Each tree is fitted on the scores so far, which are saved with the rows once a tree."""
+def train_ensemble(data: DataFrame, kind: str, n: int, objective: str, tree_num: int, settings: Settings = Settings(), learning_rate: float = 0.1, ensemble: str = "gradient_boosting", k: int = 4, l1=(0.0,), l2=(0.0,), instance_rate: float = 1.0, feature_rate: float = 1.0, base_prediction: float = 0.5, seed: int = 1, start: Ensemble | None = None, leaf_range: tuple | None = None, random: dict | None = None, on_tree=None) -> Ensemble:
+    """Each tree is fitted on the scores so far, which are saved with the rows once a tree.
+
+    A column ``init`` of ``data`` is added to the base score. leaf_range: range of the scalar leaves' first values;
+    random: how other coefficients begin (see ``initial``); on_tree(number, ensemble) may look at it.
+    """
     base = float(loss_of(objective).inverse(A, np.float64(base_prediction)))
     out = start or Ensemble(kind=ensemble, learning_rate=1.0 if ensemble == "random_forest" else learning_rate, base_score=base)
     rng = np.random.default_rng(seed)
     if start and ensemble != "random_forest" and start.trees:
         out = Ensemble(list(start.trees), start.kind, start.learning_rate, start.base_score)
     shift = lambda df, m, w: scored(df, m, w, "__f").withColumn("z", F.col("z") + out.learning_rate * F.col("__f")[0]).drop("__f")
-    state = data.withColumn("z", F.lit(base))
+    state = data.withColumn("z", F.lit(base) + F.col("init") if "init" in data.columns else F.lit(base)).drop("init")
     if ensemble != "random_forest":
         for m, w in out.trees:
             state = shift(state, m, w)
@@ -494,8 +522,13 @@ def train_ensemble(data: DataFrame, kind: str, n: int, objective: str, tree_num:
         part = state
         if instance_rate < 1:
             part = saved(state.filter(F.rand(seed * 1000 + t) < instance_rate).withColumn("weight", F.col("weight") / instance_rate), "soft-sample")
-        got = train(part, model, objective, settings, l1, l2, initial(model, "normal", 99999 + t * seed, std=0.1))
+        w0 = initial(model, **{"mode": "normal", "std": 0.1, **(random or {}), "seed": (random or {}).get("seed", 99999) + t * seed})
+        if leaf_range and model.scalar:
+            w0[:k] = np.random.default_rng(seed + t).uniform(leaf_range[0], leaf_range[1], k)
+        got = train(part, model, objective, settings, l1, l2, w0)
         out.trees.append((model, got.w))
+        if on_tree:
+            on_tree(t + 1, out)
         if ensemble != "random_forest" and t + 1 < tree_num:
             state = saved(shift(state, model, got.w), "soft-trees")
     return out

@@ -124,3 +124,41 @@ def read_config(text: str, overrides: dict[str, Any] | None = None) -> dict:
     for k, v in (overrides or {}).items():
         put(out, k, v)
     return out
+
+
+#: Every key that a configuration may have; a name with .* takes anything below it.
+KEYS = """fs_scheme verbose type model_name model_type k tree_num learning_rate instance_sample_rate feature_sample_rate uniform_base_prediction
+sample_dependent_base_prediction leaf_random_init_range bias_need_latent_factor
+data.train.data_path data.train.max_error_tol data.test.data_path data.test.max_error_tol data.delim.x_delim data.delim.y_delim
+data.delim.features_delim data.delim.feature_name_val_delim data.delim.field_delim data.field_delim data.max_feature_dim data.y_sampling
+data.assigned data.unassigned_mode
+feature.feature_hash.need_feature_hash feature.feature_hash.bucket_size feature.feature_hash.seed feature.feature_hash.feature_prefix
+feature.transform.switch_on feature.transform.mode feature.transform.scale_range.min feature.transform.scale_range.max
+feature.transform.include_features feature.transform.exclude_features feature.filter_threshold feature.split_type feature.approximate feature.missing_value
+model.data_path model.delim model.need_dict model.dict_path model.dump_freq model.need_bias model.bias_feature_name model.continue_train
+model.feature_importance_path model.field_dict_path
+loss.loss_function loss.evaluate_metric loss.just_evaluate loss.regularization.l1 loss.regularization.l2
+optimization.optimizer optimization.line_search.* optimization.tree_maker optimization.tree_grow_policy optimization.round_num optimization.max_depth
+optimization.max_leaf_cnt optimization.min_child_hessian_sum optimization.min_split_loss optimization.min_split_samples optimization.max_abs_leaf_val
+optimization.class_num optimization.sigmoid_zmax optimization.lad_refine_appr optimization.histogram_pool_capacity optimization.watch_train
+optimization.watch_test optimization.eval_metric optimization.loss_function optimization.just_evaluate optimization.uniform_base_prediction
+optimization.sample_dependent_base_prediction optimization.instance_sample_rate optimization.feature_sample_rate
+optimization.regularization.learning_rate optimization.regularization.l1 optimization.regularization.l2
+hyper.switch_on hyper.restart hyper.mode hyper.hoag.* hyper.grid.l1 hyper.grid.l2
+random.mode random.seed random.normal.mean random.normal.std random.uniform.range_start random.uniform.range_end""".split()
+
+
+def check_keys(config: dict) -> None:
+    """Fails on keys that mean nothing: a misspelt one would otherwise be ignored."""
+    open_ended = tuple(k[:-1] for k in KEYS if k.endswith(".*"))
+
+    def walk(part: dict, at: str):
+        for k, v in part.items():
+            name = at + k
+            if isinstance(v, dict):
+                yield from walk(v, name + ".")
+            elif name not in KEYS and not name.startswith(open_ended):
+                yield name
+
+    if unknown := sorted(walk(config, "")):
+        raise ValueError(f"unknown configuration keys: {', '.join(unknown)}")
