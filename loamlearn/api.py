@@ -28,7 +28,8 @@ def _config(config: dict | str) -> dict:
 
 def _settings(c: dict) -> Settings:
     ls = "optimization.line_search."
-    return Settings(memory=get(c, ls + "lbfgs.m", 8), max_iter=get(c, ls + "lbfgs.convergence.max_iter", 50), eps=get(c, ls + "lbfgs.convergence.eps", 1e-3), line_search=get(c, ls + "mode", "wolfe"), step_decr=get(c, ls + "step_decr", 0.5), step_incr=get(c, ls + "step_incr", 2.1), c1=get(c, ls + "c1", 1e-4), c2=get(c, ls + "c2", 0.9))
+    of = lambda k, default: get(c, f"{ls}backtracking.{k}", get(c, ls + k, default))
+    return Settings(memory=get(c, ls + "lbfgs.m", 8), max_iter=get(c, ls + "lbfgs.convergence.max_iter", 50), eps=get(c, ls + "lbfgs.convergence.eps", 1e-3), line_search=get(c, ls + "mode", "wolfe"), step_decr=of("step_decr", 0.5), step_incr=of("step_incr", 2.1), max_line_steps=of("max_iter", 55), min_step=of("min_step", 1e-16), max_step=of("max_step", 1e18), c1=of("c1", 1e-4), c2=of("c2", 0.9))
 
 
 def prepared(samples: DataFrame, c: dict, words: DataFrame | None = None, stats: DataFrame | None = None) -> tuple[DataFrame, DataFrame, DataFrame | None]:

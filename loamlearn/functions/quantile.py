@@ -77,7 +77,7 @@ class Summary:
 
 
 def summaries(df: DataFrame, key: str, value: str, weight: str | None = None, entries: int = 1000) -> DataFrame:
-    """key, summary (binary): built in each task, merged by key."""
+    """key, summary (binary): built in each task, merged by key, 64 tasks at a time first."""
 
     def build(batches):
         import pandas as pd
@@ -98,4 +98,8 @@ def summaries(df: DataFrame, key: str, value: str, weight: str | None = None, en
         return pd.DataFrame({key: pdf[key].iloc[:1], "summary": [s.to_bytes()]})
 
     schema = f"{key} {df.schema[key].dataType.simpleString()}, summary binary"
-    return df.select(key, value, *([weight] if weight else [])).mapInPandas(build, schema).groupBy(key).applyInPandas(fold, schema)
+    rows = df.select(key, value, *([weight] if weight else []))
+    parts = rows.mapInPandas(build, schema)
+    if rows.rdd.getNumPartitions() > 64:
+        parts = parts.groupBy(key, F.floor(F.spark_partition_id() / 64)).applyInPandas(fold, schema)
+    return parts.groupBy(key).applyInPandas(fold, schema)

@@ -62,7 +62,8 @@ def by_quantile(ex: DataFrame, max_cnt: int, alpha: float = 1.0, use_weight: boo
 
 
 def by_count(ex: DataFrame, max_cnt: int, seed: int = 7) -> DataFrame:
-    """The distinct values of max_cnt rows a feature, drawn without replacement by a keyed hash."""
+    """The distinct values of max_cnt rows a feature, drawn without replacement by seeded random numbers; which rows
+    these are changes with the partitioning."""
     ok = ex.filter("value IS NOT NULL AND NOT isnan(value)")
     n = ok.groupBy("feature").agg(F.count(F.lit(1)).alias("n"))
     # a first cut leaves a few times as many as needed, so that the sort is small
@@ -72,12 +73,16 @@ def by_count(ex: DataFrame, max_cnt: int, seed: int = 7) -> DataFrame:
 
 
 def by_rate(ex: DataFrame, rate: float, min_cnt: int, seed: int = 7) -> DataFrame:
-    """Distinct values of a Bernoulli sample; features with up to min_cnt distinct values keep all."""
-    values = no_sample(ex)
+    """Distinct values of a Bernoulli sample; features with up to min_cnt distinct values keep all.
+
+    A value of n rows is in such a sample with the chance 1 - (1 - rate)**n, so values are drawn, once each, by a keyed
+    digest: the result doesn't depend on the partitioning.
+    """
+    values = ex.filter("value IS NOT NULL AND NOT isnan(value)").groupBy("feature", "value").agg(F.count(F.lit(1)).alias("rows"))
     n = values.groupBy("feature").agg(F.count(F.lit(1)).alias("n"))
-    few = values.join(n.filter(F.col("n") <= min_cnt), "feature").select("feature", "value")
-    many = ex.filter("value IS NOT NULL AND NOT isnan(value)").join(n.filter(F.col("n") > min_cnt), "feature").select("feature", "value").sample(rate, seed).distinct()
-    return few.unionByName(many)
+    digest = F.md5(F.concat_ws(":", F.lit(str(seed)), "feature", F.col("value").cast("string")))
+    u = F.conv(F.substring(digest, 1, 8), 16, 10).cast("double") / 2.0**32
+    return values.join(n, "feature").filter((F.col("n") <= min_cnt) | (u < 1 - F.pow(F.lit(1.0 - rate), F.col("rows")))).select("feature", "value")
 
 
 def candidates(ex: DataFrame, rules: list[dict] | None = None) -> DataFrame:

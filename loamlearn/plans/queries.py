@@ -350,12 +350,24 @@ def feature_hash(spark, d):
 def quantile_sketch(spark, d):
     from ..functions.quantile import Summary
 
-    @F.udf("array<double>")
-    def at(b):
-        s = Summary.from_bytes(bytes(b), 500)
-        return [s.query(q) for q in (0.1, 0.5, 0.9)]
+    def at(batches):
+        for pdf in batches:
+            yield pdf.assign(quantiles=[[Summary.from_bytes(b, 500).query(q) for q in (0.1, 0.5, 0.9)] for b in pdf["summary"]])[["feature", "quantiles"]]
 
-    return summaries(long_bin(spark, d).filter("value IS NOT NULL"), "feature", "value", "w", 500).select("feature", at("summary").alias("quantiles"))
+    return summaries(long_bin(spark, d).filter("value IS NOT NULL"), "feature", "value", "w", 500).mapInPandas(at, "feature string, quantiles array<double>")
+
+
+@query(f"SELECT feature, count(DISTINCT value) <= 16 AS whole, true AS close FROM ({LONG}) WHERE value IS NOT NULL GROUP BY feature")
+def bins_quantile_sketch(spark, d):
+    """The default, by summaries: all values where they are few, else each within 1/64 of its rank."""
+    ex = long_bin(spark, d).filter("value IS NOT NULL")
+    bins = binning.by_quantile(ex, 16)
+    ranks = ex.groupBy("feature", "value").agg(F.count(F.lit(1)).alias("n"))
+    upto = Window.partitionBy("feature").orderBy("value").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    ranks = ranks.select("feature", "value", (F.sum("n").over(upto) / F.sum("n").over(Window.partitionBy("feature"))).alias("hi"), ((F.sum("n").over(upto) - F.col("n")) / F.sum("n").over(Window.partitionBy("feature"))).alias("lo"), F.count(F.lit(1)).over(Window.partitionBy("feature")).alias("m"))
+    # of the wanted ranks i / 16, one lies within the value's own ranks or near them
+    got = bins.join(ranks, ["feature", "value"]).withColumn("off", F.array_min(F.transform(F.sequence(F.lit(1), F.lit(16)), lambda i: F.greatest(F.col("lo") - i / 16, i / 16 - F.col("hi"), F.lit(0.0)))))
+    return got.groupBy("feature").agg(F.first(F.col("m") <= 16).alias("whole"), F.every((F.col("m") <= 16) | (F.col("off") <= 1 / 64)).alias("close"))
 
 
 # Over all features: price has far more distinct values than the SQL of their namesakes above takes. Tests use brute force.
@@ -571,8 +583,10 @@ _GAIN = f"""WITH hist AS ({_HIST}), f AS (SELECT feature, CASE feature WHEN 'qua
 
 @query(_GAIN + " SELECT feature, bin, round(gain,4) AS gain FROM top")
 def gbdt_best_split(spark, d):
-    """By relational operators: running sums over bins, the best by a struct's order."""
-    return _best(s_bin(spark, d), _TREE_FEATURES)
+    rows, values, n_bins = tree_rows(spark, d)
+    hist = gbdt.histograms(rows, gbdt.Tree([gbdt.Node()]), [0], len(_TREE_FEATURES), n_bins)[0]
+    gain, f, left, _ = gbdt.best_split(hist, gbdt.Params(l2=1.0))
+    return spark.createDataFrame([(_TREE_FEATURES[f], left, round(gain, 4))], "feature string, bin long, gain double")
 
 
 @query()
@@ -664,8 +678,11 @@ def feature_importance(spark, d):
 
 @query(_WQ.format(k="leaf", v="left", w="w", t=f"SELECT w, quantity - 20 AS left, CASE WHEN discount<=0.05 THEN 0 ELSE 1 END AS leaf FROM ({S_BIN})", q="0.5::DOUBLE", out="value").replace(" AS left", ' AS "left"').replace("left AS v", '"left" AS v').replace("WHERE left", 'WHERE "left"'))
 def lad_leaf(spark, d):
-    df = s_bin(spark, d).select("w", (F.col("quantity") - 20).alias("left"), F.when(F.col("discount") <= 0.05, 0).otherwise(1).alias("leaf"))
-    return weighted_quantiles(df, ["leaf"], F.col("left"), F.col("w")).select("leaf", r6(F.col("quantile")).alias("value"))
+    """Medians of what a forest's start of 20 leaves, in the leaves of a split of the discount."""
+    state = s_bin(spark, d).select(F.array("quantity").alias("y"), F.col("w").alias("weight"), F.array(F.when(F.col("discount") <= 0.05, 0).otherwise(1)).alias("bins"), F.array(F.lit(0.0)).alias("sum"), F.lit(True).alias("sampled"))
+    tree = gbdt.Tree([gbdt.Node(feature=0, left_bin=0, right_bin=1, left=1, right=2), gbdt.Node(), gbdt.Node()])
+    gbdt.lad_refined(state, tree, gbdt.Forest(["discount"], [], "l1", 1, 20.0), gbdt.Params(learning_rate=1.0), 0)
+    return spark.createDataFrame([(i, round(tree.nodes[i + 1].value, 6)) for i in (0, 1)], "leaf int, value double")
 
 
 @query("""SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, l_extendedprice, l_linenumber || '###' || (l_linenumber*2)::VARCHAR || ',' || l_partkey::VARCHAR AS labelled, 'x:1,m_label_0:' || (l_linenumber*2)::VARCHAR || ',m_label_1:' || l_partkey::VARCHAR AS features FROM lineitem""")
@@ -675,12 +692,17 @@ def save_modes(spark, d):
     return scoring.saved_form(a, scoring.AS_FEATURE, F.col("p").cast("array<string>"), F.col("line"), model="m").select(*KEY, "labelled", F.col("value").alias("features"))
 
 
-@query(f"SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, l_extendedprice, round({Z}+{SHIFT}::DOUBLE,6) AS score FROM ({S_BIN})")
+#: Thompson sampling with alpha 0.5: the bias stays, the others move by alpha z / sqrt(precision) with the seed's normal numbers.
+_PRECISION = [1.0, 400.0, 25.0, 100.0, 64.0, 16.0]
+_NORMAL = np.random.default_rng(3).normal(size=6)
+_DRAWN_SQL = "+".join(f"({FIXED[n]}::DOUBLE+({float(_NORMAL[i + 1])!r}::DOUBLE)*0.5/sqrt({_PRECISION[i + 1]}::DOUBLE))*{n}" for i, n in enumerate(NAMES))
+
+
+@query(f"SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, l_extendedprice, round(0.1::DOUBLE+{_DRAWN_SQL}+{SHIFT}::DOUBLE,5) AS score FROM ({S_BIN})")
 def thompson_score(spark, d):
-    """A draw with alpha 0 is the model itself."""
-    w = continuous.thompson(np.array([BIAS, *FIXED.values()]), np.ones(6), 0.0, 3)
+    w = continuous.thompson(np.array([BIAS, *FIXED.values()]), np.array(_PRECISION), 0.5, 3)
     got = continuous.scored(_index_rows(spark, d), continuous.build("linear", 6), w)
-    return got.select(*KEY, r6(F.col("scores")[0] + SHIFT).alias("score"))
+    return got.select(*KEY, r6(F.col("scores")[0] + SHIFT, 5).alias("score"))
 
 
 @query(f"""SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, l_extendedprice, round((exp(g)*1.5::DOUBLE-0.5::DOUBLE)/(exp(g)+1)+{SHIFT}::DOUBLE,6) AS score FROM (SELECT *, 0.5::DOUBLE-0.05::DOUBLE*quantity+3*discount AS g FROM ({S_BIN}))""")
@@ -705,9 +727,10 @@ def line_hook(spark, d):
     return src.apply_hook(lines, hook).select("n_nationkey", "value")
 
 
-@query(f"SELECT round(sum(w*{P})/sum(w),6) AS weighted, round(avg({P}),6) AS real FROM ({S_BIN})")
+@query(f"SELECT round(sqrt(sum(w*(y-{P})**2)/sum(w)),6) AS weighted, round(sqrt(avg((y-{P})**2)),6) AS real FROM ({S_BIN})")
 def weighted_vs_real(spark, d):
-    return scored_bin(spark, d).agg(r6(F.sum(F.col("w") * F.col("p")) / F.sum("w")).alias("weighted"), r6(F.avg("p")).alias("real"))
+    got = metrics.evaluate(scored_bin(spark, d), ["rmse"])
+    return spark.createDataFrame([(round(got["rmse"], 6), round(got["real_rmse"], 6))], "weighted double, real double")
 
 
 @query()
@@ -715,9 +738,10 @@ def bins_count(spark, d):
     return binning.by_count(long_bin(spark, d), 20)
 
 
-@query()
+@query(f"""WITH v AS (SELECT feature, value, count(*) AS rows FROM ({LONG}) WHERE value IS NOT NULL GROUP BY 1,2), n AS (SELECT feature, count(*) AS n FROM v GROUP BY 1)
+ SELECT v.feature, round(value,6) AS value FROM v JOIN n ON v.feature=n.feature WHERE n <= 12 OR ('0x' || substr(md5('7:' || v.feature || ':' || value),1,8))::BIGINT/4294967296.0::DOUBLE < 1-pow(0.99::DOUBLE, rows)""")
 def bins_rate(spark, d):
-    return binning.by_rate(long_bin(spark, d), 0.01, 12)
+    return binning.by_rate(long_bin(spark, d), 0.01, 12).select("feature", r6(F.col("value")).alias("value"))
 
 
 @query()
