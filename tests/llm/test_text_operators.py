@@ -525,6 +525,23 @@ def test_pii_whole_names_and_their_mentions(spark):
     assert re.search(r"Herr \w+ (\w+)\. (\w+) (\w+) left with (\w+) and (\w+)'s dog", said[0])
 
 
+def test_pii_calling_codes_stay(spark):
+    texts = ["+49 30 123456 78", "+353 12 345 678 90", "+1 (836) 555-9331", "+7 495 123 45 67", "(836) 555-9331", "+٤٩ ٣٠١ ٢٣٤ ٥٦٧٨"]
+    out = {r["doc_id"]: r["text"] for r in pii.replace_personal(frame(spark, [(i, t, "en", "s") for i, t in enumerate(texts)])).collect()}
+    for i, code in enumerate(("+49 ", "+353 ", "+1 (", "+7 ", "(", "+49 ")):
+        assert out[i].startswith(code) and out[i] != texts[i] and len(out[i]) == len(texts[i])
+    assert pii.country_code("4930123456") == "49" and pii.country_code("35312345678") == "353" and pii.country_code("18365559331") == "1"
+
+
+def test_pii_many_names_are_distinct(spark):
+    """No two of 20,000 people get one surrogate, and one person one only, wherever and however titled."""
+    from loamlearn.llm.common import Workspace
+
+    rows = [("name", f"{'mfn'[i % 3]} Given{i % 7} Name{i}") for i in range(20000)]
+    got = pii.surrogates(spark.createDataFrame(rows, "kind string, form string"), b"k", Workspace(spark, "t")).collect()
+    assert len(got) == 20000 == len({r["surrogate"] for r in got}) and sorted(r["form"] for r in got) == sorted(f for _, f in rows)
+
+
 def test_pii_prefilter_lets_every_match_through(spark):
     texts = ["١٢٣-٤٥٦-٧٨٩٠", "+٩٦ ٥٥٥ ٤٤٤ ٣٣٣", "card ４１１１ １１１１ １１１１ １１１１", "१०.२०.३०.४०", "+1 836 555 9331", "1.2.3.4", "(836) 555-9331", "a@b.org", "4111111111111111", *(f"{t}{dot} Łukasz" for t in pii.TITLES for dot in ("", "."))]
     assert all(pii.PATTERN.search(t) for t in texts[4:]) and sum(bool(pii.PATTERN.search(t)) for t in texts[:4]) >= 3
