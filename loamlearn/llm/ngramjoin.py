@@ -516,8 +516,9 @@ def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     cells = F.pmod(F.xxhash64("sig", "lo", "hi"), F.lit(n_cells)).cast("int")
     lists = labelled.select("sig", "lo", "hi", "own", "set_id", "n", "weak", "band", "label", cells.alias("cell")).groupBy("cell").applyInArrow(_partners(percent), "set_id long, partners binary")
     # parts of the sets don't follow the number of pieces: a set goes to as many blocks as it has partners' parts
-    part = F.pmod(F.col("set_id"), F.lit(n_parts))
-    blocks = lists.withColumn("cell", part).groupBy("cell").applyInArrow(_counted(n_parts), BLOCKS)
+    # every set with unlinked candidates in all parts is sent 2 * n_buckets times, so parts are as large as a bucket's text
+    part = F.pmod(F.col("set_id"), F.lit(n_buckets))
+    blocks = lists.withColumn("cell", part).groupBy("cell").applyInArrow(_counted(n_buckets), BLOCKS)
     blocks = ws.save(blocks, "blocks")
     found = ws.save(links.select("a", "b").unionByName(_verified(blocks, sets, percent)).distinct(), "links")
 
