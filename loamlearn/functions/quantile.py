@@ -87,7 +87,8 @@ def summaries(df: DataFrame, key: str, value: str, weight: str | None = None, en
             for k, part in pdf.groupby(key):
                 s = Summary(part[value], part[weight] if weight else None, entries)
                 got[k] = got[k].merge(s) if k in got else s
-        yield pd.DataFrame({key: list(got), "summary": [s.to_bytes() for s in got.values()]})
+        if got:  # of a task without rows, pandas would make columns of numbers
+            yield pd.DataFrame({key: list(got), "summary": [s.to_bytes() for s in got.values()]})
 
     def fold(pdf):
         import pandas as pd

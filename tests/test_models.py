@@ -3,7 +3,7 @@ import pytest
 
 from loamlearn import api
 from loamlearn.functions import losses as L
-from loamlearn.functions.quantile import Summary
+from loamlearn.functions.quantile import Summary, summaries
 from loamlearn.operators import binning, continuous as C, gbdt, metrics, optim, score
 from loamlearn.plans.queries import FOREST
 from loamlearn.sources import models as M
@@ -109,6 +109,11 @@ def test_summary_error():
         assert abs(rank - q) < 0.03
 
 
+def test_summaries_of_tasks_without_rows(spark):
+    got = summaries(spark.createDataFrame([("a", 1.0), ("b", 2.0)], "feature string, value double").repartition(1).union(spark.createDataFrame([], "feature string, value double")), "feature", "value").collect()
+    assert {r["feature"]: Summary.from_bytes(r["summary"], 10).query(0.5) for r in got} == {"a": 1.0, "b": 2.0}
+
+
 def test_bins():
     v = np.array([1.0, 2, 4, 8])
     assert binning.assign(np.array([0, 1.4, 1.5, 2.9, 3, 100]), binning.bin_edges(v)).tolist() == [0, 0, 1, 1, 2, 3]
