@@ -1,5 +1,6 @@
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from loamlearn import api
 from loamlearn.functions import losses as L
@@ -114,6 +115,23 @@ def test_summaries_of_tasks_without_rows(spark):
     assert {r["feature"]: Summary.from_bytes(r["summary"], 10).query(0.5) for r in got} == {"a": 1.0, "b": 2.0}
 
 
+def test_summaries_of_many_pieces(spark):
+    """The error of ranks doesn't grow with the batches and tasks that are merged."""
+    n = 400_000
+    rows = spark.range(n, numPartitions=70).select(F.lit("a").alias("feature"), ((F.col("id") * 7919) % n).cast("double").alias("value"), (F.col("id") % 3 + 1).cast("double").alias("w"))
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "500")
+    try:
+        s = Summary.from_bytes(summaries(rows, "feature", "value", "w", 50).first()["summary"], 50)
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    i = np.arange(n)
+    weight = np.zeros(n)
+    weight[i * 7919 % n] = i % 3 + 1
+    rank = np.cumsum(weight) / weight.sum()
+    assert s.total == weight.sum()
+    assert max(abs(rank[int(s.query(q))] - q) for q in np.arange(1, 100) / 100) < 1 / 100
+
+
 def test_bins():
     v = np.array([1.0, 2, 4, 8])
     assert binning.assign(np.array([0, 1.4, 1.5, 2.9, 3, 100]), binning.bin_edges(v)).tolist() == [0, 0, 1, 1, 2, 3]
