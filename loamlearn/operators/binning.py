@@ -7,6 +7,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.quantile import Summary, summaries
+from ..plans.session import sendable
 
 
 def no_sample(ex: DataFrame) -> DataFrame:
@@ -19,7 +20,7 @@ def by_precision(ex: DataFrame, digits: int, use_log: bool = False, use_min_max:
     v = F.col("value")
     ok = ex.filter("value IS NOT NULL AND NOT isnan(value)")
     ends = ok.groupBy("feature").agg(F.min(v).alias("lo"), F.max(v).alias("hi"))
-    got = ok.select("feature", "value").distinct().join(ends, "feature")
+    got = ok.select("feature", "value").distinct().join(sendable(ends, "ends"), "feature")
     shift = F.least("lo", F.lit(0.0))
     there = (lambda c: F.log(1 + c - shift)) if use_log else (lambda c: c)
     back = (lambda c: F.exp(c) - 1 + shift) if use_log else (lambda c: c)
@@ -42,7 +43,7 @@ def by_quantile(ex: DataFrame, max_cnt: int, alpha: float = 1.0, use_weight: boo
     ok = ex.filter("value IS NOT NULL AND NOT isnan(value)")
     mass = F.sum(F.pow("weight", F.lit(alpha))) if use_weight else F.pow(F.count(F.lit(1)), F.lit(alpha))
     per = ok.groupBy("feature", "value").agg(mass.alias("w"))
-    n = per.groupBy("feature").agg(F.count(F.lit(1)).alias("n"))
+    n = sendable(per.groupBy("feature").agg(F.count(F.lit(1)).alias("n")), "counts")
     few = per.join(n.filter(F.col("n") <= max_cnt), "feature").select("feature", "value")
     many = per.join(n.filter(F.col("n") > max_cnt), "feature")
     if exact:
@@ -65,7 +66,7 @@ def by_count(ex: DataFrame, max_cnt: int, seed: int = 7) -> DataFrame:
     """The distinct values of max_cnt rows a feature, drawn without replacement by seeded random numbers; which rows
     these are changes with the partitioning."""
     ok = ex.filter("value IS NOT NULL AND NOT isnan(value)")
-    n = ok.groupBy("feature").agg(F.count(F.lit(1)).alias("n"))
+    n = sendable(ok.groupBy("feature").agg(F.count(F.lit(1)).alias("n")), "counts")
     # a first cut leaves a few times as many as needed, so that the sort is small
     drawn = ok.withColumn("r", F.rand(seed)).join(n, "feature").filter(F.col("r") * F.col("n") < 2 * max_cnt + 50)
     top = drawn.withColumn("k", F.row_number().over(Window.partitionBy("feature").orderBy("r"))).filter(F.col("k") <= max_cnt)
@@ -79,7 +80,7 @@ def by_rate(ex: DataFrame, rate: float, min_cnt: int, seed: int = 7) -> DataFram
     digest: the result doesn't depend on the partitioning.
     """
     values = ex.filter("value IS NOT NULL AND NOT isnan(value)").groupBy("feature", "value").agg(F.count(F.lit(1)).alias("rows"))
-    n = values.groupBy("feature").agg(F.count(F.lit(1)).alias("n"))
+    n = sendable(values.groupBy("feature").agg(F.count(F.lit(1)).alias("n")), "counts")
     digest = F.md5(F.concat_ws(":", F.lit(str(seed)), "feature", F.col("value").cast("string")))
     u = F.conv(F.substring(digest, 1, 8), 16, 10).cast("double") / 2.0**32
     return values.join(n, "feature").filter((F.col("n") <= min_cnt) | (u < 1 - F.pow(F.lit(1.0 - rate), F.col("rows")))).select("feature", "value")
