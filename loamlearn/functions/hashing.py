@@ -8,6 +8,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..plans.session import sendable
+
 _MASK = (1 << 64) - 1
 _C1, _C2 = 0x87C37B91114253D5, 0x4CF5AD432745937F
 
@@ -63,5 +65,5 @@ def hash_features(exploded: DataFrame, buckets: int, seed: int = 0, prefix: str
         return pd.DataFrame({"bucket": [b for b, _ in got], "sign": [s for _, s in got]})
 
     names = exploded.select("feature").distinct().withColumn("h", split("feature"))
-    got = exploded.join(names, "feature").select(*keys, F.concat(F.lit(prefix), F.col("h.bucket").cast("string")).alias("feature"), (F.col("value") * F.col("h.sign")).alias("value"))
+    got = exploded.join(sendable(names, "names"), "feature").select(*keys, F.concat(F.lit(prefix), F.col("h.bucket").cast("string")).alias("feature"), (F.col("value") * F.col("h.sign")).alias("value"))
     return got.groupBy(*keys, "feature").agg(F.sum("value").alias("value"))

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.losses import A, MultiLoss, loss as loss_of
+from ..plans.session import sendable
 from .continuous import Ensemble, Model, Rows
 from .features import BIAS
 from .gbdt import Forest
@@ -195,4 +196,4 @@ def write_predictions(df: DataFrame, path: str) -> None:
 
 def parallel_linear(ex: DataFrame, weights: DataFrame, keys: tuple = ("sample_id",)) -> DataFrame:
     """keys, score of a linear model as a join and an aggregate; both sides may be of any size."""
-    return ex.join(weights, "feature").groupBy(*keys).agg(F.sum(F.col("value") * F.col("weight")).alias("score"))
+    return ex.join(sendable(weights, "weights"), "feature").groupBy(*keys).agg(F.sum(F.col("value") * F.col("weight")).alias("score"))
