@@ -1,9 +1,12 @@
 """Joins by feature don't gather the rows of a feature, of which there may be very many, in one task."""
 
+import os
+
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from loamlearn.operators import binning, continuous as C, features as feat, score
+from loamlearn.operators import binning, continuous as C, features as feat, optim, score
 from loamlearn.plans import session
 
 
@@ -45,3 +48,45 @@ def test_many_features_are_not_sent(spark, ex, monkeypatch):
     monkeypatch.setattr(session, "SENT_ROWS", 2)
     got = feat.filled(ex, feat.missing_values(ex, "value@-1"))
     assert "SortMergeJoin" in plan(got) and got.count() == 600
+
+
+@pytest.fixture
+def rows(spark):
+    return spark.range(60_000, numPartitions=1).select(F.array((F.col("id") % 2).cast("double")).alias("label"), (1.0 + F.col("id") % 3).alias("weight"), F.array(F.lit(0), F.col("id") % 5 + 1).cast("array<bigint>").alias("idx"), F.array(F.lit(1.0), F.rand(3)).alias("val"))
+
+
+def test_packed_rows_follow_splits_of_files(spark, rows, monkeypatch):
+    def count(batches):
+        import pyarrow as pa
+
+        yield pa.RecordBatch.from_pydict({"n": [sum(b.num_rows for b in C.unpacked(batches))]})
+
+    monkeypatch.setattr(C, "PACKED_GROUP", 1 << 18)
+    monkeypatch.setattr(C, "PIECE", 1 << 12)
+    spark.conf.set("spark.sql.files.maxPartitionBytes", str(1 << 18))
+    try:
+        mine = C.packed(rows)
+        assert rows.rdd.getNumPartitions() == 1 and mine.rdd.getNumPartitions() > 2
+        sizes = mine.mapInArrow(count, "n long").collect()
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    assert sum(r["n"] for r in sizes) == 60_000 and max(r["n"] for r in sizes) < 60_000
+    assert mine.agg(F.sum("n"), F.sum("weight")).first() == (60_000, 120_000.0)
+
+
+def test_packed_rows_train_alike(spark, rows):
+    m, w = C.build("linear", 6), np.arange(6) / 10
+    mine = C.packed(rows.withColumn("z", F.col("weight") / 10))
+    for a, b in zip(C.evaluate(rows.withColumn("z", F.col("weight") / 10), m, "sigmoid", w), C.evaluate(mine, m, "sigmoid", w), strict=True):
+        np.testing.assert_allclose(a, b, rtol=1e-9)
+    session.remove(mine)
+    got = C.train(rows, m, "sigmoid", optim.Settings(max_iter=3), test=rows.limit(100))
+    assert got.weight == 120_000 and got.test_loss > 0
+
+
+def test_packed_rows_are_deleted(spark, rows, monkeypatch):
+    made = []
+    monkeypatch.setattr(C, "saved", lambda df, *more: made.append(session.saved(df, *more)) or made[-1])
+    C.train(rows, C.build("linear", 6), "sigmoid", optim.Settings(max_iter=1))
+    folders = {f.rsplit("/", 1)[0].removeprefix("file:") for df in made for f in df.inputFiles()}
+    assert len(made) == 1 and folders and not any(os.path.exists(f.replace("//", "/")) for f in folders)
