@@ -90,3 +90,20 @@ def test_packed_rows_are_deleted(spark, rows, monkeypatch):
     C.train(rows, C.build("linear", 6), "sigmoid", optim.Settings(max_iter=1))
     folders = {f.rsplit("/", 1)[0].removeprefix("file:") for df in made for f in df.inputFiles()}
     assert len(made) == 1 and folders and not any(os.path.exists(f.replace("//", "/")) for f in folders)
+
+
+@pytest.mark.parametrize("kind", ["linear", "gbmlr", "gbhsdt"])
+def test_rows_of_the_same_features_go_as_a_matrix(kind):
+    import pyarrow as pa
+
+    rng = np.random.default_rng(2)
+    batch = pa.RecordBatch.from_pydict({"idx": [[0, 3, 3, 5]] * 20, "val": rng.normal(size=(20, 4)).tolist()})
+    fast = C.read_rows(batch)
+    assert fast.same.tolist() == [0, 3, 3, 5]
+    assert C.read_rows(pa.RecordBatch.from_pydict({"idx": [[0, 3], [0, 4]], "val": [[1.0, 1.0]] * 2})).same is None
+    slow = C.Rows(fast.n, fast.row, fast.idx, fast.val)
+    m = C.build(kind, 7, **({} if kind == "linear" else {"k": 4}))
+    w, slope = rng.normal(size=m.dim), rng.normal(size=(20, 1))
+    (a, kept), (b, other) = m.forward(w, fast), m.forward(w, slow)
+    np.testing.assert_allclose(a, b, rtol=1e-9)
+    np.testing.assert_allclose(m.backward(w, fast, kept, slope), m.backward(w, slow, other, slope), rtol=1e-9, atol=1e-12)
