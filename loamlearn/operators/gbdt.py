@@ -251,7 +251,7 @@ def histograms(rows: DataFrame, tree: Tree, wanted: list[int], n_features: int,
         return pa.table({"node": table.column("node").slice(0, 1), "part": table.column("part").slice(0, 1), "h": pa.array([total.tobytes()], pa.binary())})
 
     schema = "node int, part int, h binary"
-    sums = rows.mapInArrow(run, schema)
+    sums = rows.select("bins", "pairs", "sampled").mapInArrow(run, schema)
     if (rows.rdd.getNumPartitions() if tasks is None else tasks) > FAN:
         sums = sums.groupBy("node", "part", F.floor(F.spark_partition_id() / FAN)).applyInArrow(add, schema)
     got: dict[int, list] = {}
@@ -362,8 +362,8 @@ def grow(rows: DataFrame, n_features: int, n_bins: int, p: Params, group: int =
     return tree
 
 
-def prepare(samples: DataFrame, features: list[str], values: dict[str, np.ndarray], fills: dict[str, float] | None = None, init_col: str | None = None) -> DataFrame:
-    """y (array), weight, bins: dense rows with missing values filled. samples: label, weight, features (map)."""
+def _binning(samples: DataFrame, features: list[str], values: dict[str, np.ndarray], fills: dict[str, float] | None, init_col: str | None):
+    """Rows with raw values, what turns batches of them into batches with bins, and the fields of those."""
     edges = [bin_edges(values[f]) for f in features]
     fill = np.array([(fills or {}).get(f, 0.0) for f in features])
     sent = samples.sparkSession.sparkContext.broadcast((edges, fill))
@@ -385,7 +385,15 @@ def prepare(samples: DataFrame, features: list[str], values: dict[str, np.ndarra
 
     from pyspark.sql import types as T
 
-    return base.mapInArrow(run, T.StructType([*(f for f in base.schema.fields if f.name != "raw"), T.StructField("bins", T.ArrayType(T.IntegerType()))]))
+    return base, run, [*(f for f in base.schema.fields if f.name != "raw"), T.StructField("bins", T.ArrayType(T.IntegerType()))]
+
+
+def prepare(samples: DataFrame, features: list[str], values: dict[str, np.ndarray], fills: dict[str, float] | None = None, init_col: str | None = None) -> DataFrame:
+    """y (array), weight, bins: dense rows with missing values filled. samples: label, weight, features (map)."""
+    from pyspark.sql import types as T
+
+    base, run, fields = _binning(samples, features, values, fills, init_col)
+    return base.mapInArrow(run, T.StructType(fields))
 
 
 def gradient_pairs(scores: np.ndarray, y: np.ndarray, weight: np.ndarray, objective) -> np.ndarray:
@@ -400,17 +408,14 @@ def gradient_pairs(scores: np.ndarray, y: np.ndarray, weight: np.ndarray, object
     return np.stack([g, h], axis=2) * weight[:, None, None]
 
 
-def advanced(state: DataFrame, trees: list[Tree], forest: Forest, p: Params, round_no: int, save=None) -> DataFrame:
-    """The state after some trees: new scores, gradient pairs and this round's sample. Saved, so lineage doesn't grow;
-    ``save`` may replace the state before."""
+def _advancing(spark, fields: list, trees: list[Tree], forest: Forest, p: Params, round_no: int):
+    """What turns batches of a state, with random numbers in __u, into those of the next one, and the schema of that."""
     groups = forest.groups
-    sent = state.sparkSession.sparkContext.broadcast((trees, forest.objective, p, forest.base_score))
-    fields = [f for f in state.schema.fields if f.name not in ("sum", "pairs", "sampled")]
+    sent = spark.sparkContext.broadcast((trees, forest.objective, p, forest.base_score))
     from pyspark.sql import types as T
 
     schema = T.StructType([*fields, T.StructField("sum", T.ArrayType(T.DoubleType())), T.StructField("pairs", T.ArrayType(T.DoubleType())), T.StructField("sampled", T.BooleanType())])
     keep = [f.name for f in fields]
-    source = state.withColumn("__u", F.rand(p.seed * 7919 + round_no))
 
     def run(batches):
         import pyarrow as pa
@@ -432,7 +437,25 @@ def advanced(state: DataFrame, trees: list[Tree], forest: Forest, p: Params, rou
             pairs = gradient_pairs(start + total / max(1, done), y, get("weight").to_numpy(), objective)
             yield pa.RecordBatch.from_arrays([*[get(c) for c in keep], lists(total), lists(pairs.reshape(n, -1)), pa.array(get("__u").to_numpy() < p.instance_rate)], schema.names)
 
-    out = source.mapInArrow(run, schema)
+    return run, schema
+
+
+def advanced(state: DataFrame, trees: list[Tree], forest: Forest, p: Params, round_no: int, save=None) -> DataFrame:
+    """The state after some trees: new scores, gradient pairs and this round's sample. Saved, so lineage doesn't grow;
+    ``save`` may replace the state before."""
+    fields = [f for f in state.schema.fields if f.name not in ("sum", "pairs", "sampled")]
+    run, schema = _advancing(state.sparkSession, fields, trees, forest, p, round_no)
+    out = state.withColumn("__u", F.rand(p.seed * 7919 + round_no)).mapInArrow(run, schema)
+    return save(out) if save else saved(out, "boosting")
+
+
+def begin(samples: DataFrame, features: list[str], values: dict[str, np.ndarray], forest: Forest, p: Params, round_no: int = 0, fills: dict[str, float] | None = None, init_col: str | None = None, save=None) -> DataFrame:
+    """The state after the forest's trees: ``prepare`` and ``advanced`` in one pass, so that a task has one Python worker
+    instead of two."""
+    base, bins, fields = _binning(samples, features, values, fills, init_col)
+    run, schema = _advancing(samples.sparkSession, fields, forest.trees, forest, p, round_no)
+    source = base.withColumn("sum", F.array_repeat(F.lit(0.0), forest.groups)).withColumn("__u", F.rand(p.seed * 7919 + round_no))
+    out = source.mapInArrow(lambda batches: run(bins(batches)), schema)
     return save(out) if save else saved(out, "boosting")
 
 
@@ -478,7 +501,6 @@ def train(samples: DataFrame, features: list[str], values: dict[str, np.ndarray]
     sorted_values = [np.sort(np.asarray(values[f], float)) for f in features]
     fill = np.array([(fills or {}).get(f, 0.0) for f in features])
     n_bins = max(len(v) for v in sorted_values)
-    state = prepare(samples, features, values, fills, init_col).withColumn("sum", F.array_repeat(F.lit(0.0), groups))
     begun = len(forest.trees) // groups
     if start:
         for t in forest.trees:  # thresholds back to bins
@@ -487,7 +509,7 @@ def train(samples: DataFrame, features: list[str], values: dict[str, np.ndarray]
                     n.left_bin = int(np.searchsorted(sorted_values[n.feature], n.threshold, "right")) - 1
     states = Rolling(samples.sparkSession, "boosting")  # the disk holds two states, whatever the number of rounds
     try:
-        state = advanced(state, forest.trees, forest, p, begun, states.save)
+        state = begin(samples, features, values, forest, p, begun, fills, init_col, states.save)
         rng = np.random.default_rng(p.seed)
         for r in range(begun, begun + p.rounds):
             new = [grow(state, len(features), n_bins, p, k, rng) for k in range(groups)]

@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from loamlearn.operators import binning, continuous as C, features as feat, optim, score
+from loamlearn.operators import binning, continuous as C, features as feat, gbdt, optim, score
 from loamlearn.plans import session
 
 
@@ -107,3 +107,34 @@ def test_rows_of_the_same_features_go_as_a_matrix(kind):
     (a, kept), (b, other) = m.forward(w, fast), m.forward(w, slow)
     np.testing.assert_allclose(a, b, rtol=1e-9)
     np.testing.assert_allclose(m.backward(w, fast, kept, slope), m.backward(w, slow, other, slope), rtol=1e-9, atol=1e-12)
+
+
+@pytest.fixture
+def boosted(spark):
+    x = [F.when(F.col("id") % 11 > 0, (F.col("id") * k % 7).cast("double")) for k in (3, 5)]
+    return spark.range(900, numPartitions=3).select(F.array((F.col("id") % 2).cast("double")).alias("label"), (1.0 + F.col("id") % 3).alias("weight"), F.create_map(F.lit("a"), x[0], F.lit("b"), x[1]).alias("features"), F.array(F.lit(0.25)).alias("first"))
+
+
+def test_a_task_of_boosting_has_one_python_worker(boosted, monkeypatch):
+    plans = []
+    save, count = session.Rolling.save, gbdt.histograms
+    monkeypatch.setattr(session.Rolling, "save", lambda self, df: plans.append(plan(df)) or save(self, df))
+    monkeypatch.setattr(gbdt, "histograms", lambda rows, *more: plans.append(plan(rows)) or count(rows, *more))
+    forest = gbdt.train(boosted, ["a", "b"], {n: np.arange(7.0) for n in "ab"}, "sigmoid", gbdt.Params(rounds=2, max_depth=2))
+    assert len(forest.trees) == 2 and max(p.count("MapInArrow") for p in plans) == 1
+
+
+def test_one_pass_begins_like_two(boosted):
+    values, forest, p = {n: np.arange(7.0) for n in "ab"}, gbdt.Forest(["a", "b"]), gbdt.Params(instance_rate=0.5)
+    for first in (None, "first"):
+        two = gbdt.advanced(gbdt.prepare(boosted, ["a", "b"], values, {"a": 2.0}, first).withColumn("sum", F.array(F.lit(0.0))), [], forest, p, 0)
+        one = gbdt.begin(boosted, ["a", "b"], values, forest, p, 0, {"a": 2.0}, first)
+        assert one.columns == two.columns and sorted(map(str, one.collect())) == sorted(map(str, two.collect()))
+        assert 0 < one.filter("sampled").count() < 900
+
+
+def test_rows_of_the_driver_need_no_tasks(spark):
+    got = session.local(spark, [(1, None, 0.5, True), (2, "x", float("nan"), False)], "n int, s string, x double, b boolean")
+    assert "RDD" not in plan(got) and str(got.collect()) == "[Row(n=1, s=None, x=0.5, b=True), Row(n=2, s='x', x=nan, b=False)]"
+    assert got.schema == spark.createDataFrame([], "n int, s string, x double, b boolean").schema
+    assert session.local(spark, [], "n int").count() == 0
